@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,54 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe}
 SQL: dict[str, str] = {}
+
+
+#: Fixed by the contract of op3.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES |= {"op3_url_filter": op3_url_filter, "op4_mixing": op4_mixing}
+
+SQL["op3_url_filter"] = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
+r(rule, host, path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+m AS (SELECT p.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS nth
+      FROM p JOIN r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM p LEFT JOIN (SELECT * FROM m WHERE nth = 1) m USING (page_id)
+"""
+
+SQL["op4_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM s),
+w AS (SELECT *, CASE rnk % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS most FROM r),
+l AS (SELECT *, row_number() OVER (ORDER BY most / weight, rnk) AS nth,
+        (1.5::DOUBLE * (SELECT sum(source_size)::BIGINT FROM w) - coalesce(sum(most) OVER (ORDER BY most / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY most / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT min(nth) AS nth, min_by(level, nth) AS level FROM l WHERE level <= most / weight),
+t AS (SELECT l.source, l.source_size, CASE WHEN f.nth IS NULL OR l.nth < f.nth THEN l.most ELSE f.level * l.weight END AS target FROM l LEFT JOIN f ON true),
+x AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - before_)) ELSE 0 END)::BIGINT AS taken FROM x
+"""
