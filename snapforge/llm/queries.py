@@ -68,3 +68,15 @@ x AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::B
 SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - before_)) ELSE 0 END)::BIGINT AS taken FROM x
 """
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from snapforge.llm import token_binary
+
+    files, folder = token_binary.store(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_binary.read_files(files, folder)
+
+
+QUERIES["op10_token_binary"] = op10_token_binary
