@@ -80,3 +80,12 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_token_binary"] = op10_token_binary
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import simhash
+
+    return simhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op5_simhash"] = op5_simhash
