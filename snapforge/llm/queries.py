@@ -89,3 +89,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash"] = op5_simhash
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import media
+
+    return media.describe(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("media_error")
+
+
+QUERIES["op8_media"] = op8_media
