@@ -98,3 +98,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_media"] = op8_media
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~quality.held_out(F.col("doc_id")))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES["op6_quality"] = op6_quality
