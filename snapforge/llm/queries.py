@@ -109,3 +109,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_quality"] = op6_quality
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import substring
+
+    out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op7_substring"] = op7_substring
