@@ -119,3 +119,12 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_substring"] = op7_substring
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import embedding_dedup
+
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES["op2_embedding_dedup"] = op2_embedding_dedup
