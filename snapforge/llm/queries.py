@@ -128,3 +128,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_embedding_dedup"] = op2_embedding_dedup
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm import line_dedup
+
+    return line_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op9_line_dedup"] = op9_line_dedup
