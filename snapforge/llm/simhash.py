@@ -1,10 +1,11 @@
 """SimHash near-duplicates by anchor points.
 
-Fingerprints that differ in at most ``DISTANCE`` bits differ in at most one bit of one of three segments (22, 21 and 21
-bits). For each segment the anchors are a covering code: the perfect Hamming code on its first 15 bits, every word on the
-rest; each segment value has exactly one anchor within the covering radius 1, its home. A fingerprint is sent to every
-anchor within radius plus threshold (1 + 1) of each segment, about 16, so two fingerprints that are near in a segment
-meet at the home of either. At an anchor the fingerprints at home are compared with all that came, on all 64 bits.
+The 64 bits are cut into so many segments that fingerprints within the distance differ in at most one bit of one of them:
+3 segments of 22, 21 and 21 bits for ``DISTANCE``, 5 for 9 bits. For each segment the anchors are a covering code: a
+perfect Hamming code on its first 15 bits (7 in segments under 15 bits), every word on the rest; each segment value has
+exactly one anchor within the covering radius 1, its home. A fingerprint is sent to every anchor within radius plus
+threshold (1 + 1) of each segment, 12 to 16, so two fingerprints that are near in a segment meet at the home of either.
+At an anchor the fingerprints at home are compared with all that came, on all 64 bits.
 
 Documents with equal fingerprints are one fingerprint from the start, so copies cost nothing further. Pairs do not leave a
 worker: it joins linked fingerprints as it goes and gives one edge at most for each fingerprint it got, which keeps what
@@ -20,6 +21,7 @@ results. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -31,9 +33,6 @@ from snapforge.llm.common import arrow_map, chunks, components, min_labels, writ
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-#: (lowest bit, bits) of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-_CODE_BITS = 15
 #: Shingles hashed at once.
 _HASHES = 1 << 17
 #: Pairs compared at once.
@@ -71,54 +70,63 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, print long")
 
 
-def _syndromes() -> np.ndarray:
-    """For each 15-bit word, the xor of the (one-based) places of its bits: 0 for a codeword, else the place that is off."""
-    words, out = np.arange(1 << _CODE_BITS), np.zeros(1 << _CODE_BITS, np.int64)
-    for place in range(_CODE_BITS):
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each segment: enough of them for one to differ in a bit at most."""
+    n = distance // 2 + 1
+    edges = [-(-64 * i // n) for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+
+
+@functools.lru_cache(maxsize=4)
+def _syndromes(code_bits: int) -> np.ndarray:
+    """For each word, the xor of the (one-based) places of its bits: 0 for a codeword, else the place that is off."""
+    words, out = np.arange(1 << code_bits), np.zeros(1 << code_bits, np.int64)
+    for place in range(code_bits):
         out ^= np.where(words >> place & 1, place + 1, 0)
     return out
 
 
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(prints: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index into prints, at home) for all anchors that each fingerprint (u64) is sent to."""
-    off = _syndromes()
     keys, index, home = [], [], []
-    # codewords within 2 of a 15-bit word, by its syndrome: flips of one bit, none, or two
-    for seg, (low, bits) in enumerate(SEGMENTS):
+    for seg, (low, bits) in enumerate(segments(distance)):
+        code_bits = 15 if bits >= 15 else 7
+        if bits < code_bits:
+            raise ValueError("the distance is too large for these codes")
         value = (prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)
-        code = (value & np.uint64((1 << _CODE_BITS) - 1)).astype(np.int64)
-        rest = (value >> np.uint64(_CODE_BITS)).astype(np.int64)
-        s = off[code]
+        code = (value & np.uint64((1 << code_bits) - 1)).astype(np.int64)
+        rest = (value >> np.uint64(code_bits)).astype(np.int64)
+        s = _syndromes(code_bits)[code]
         nearest = code ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
-        extra = bits - _CODE_BITS
-        flips0, flips1 = [0], [1 << i for i in range(extra)]
+        extra = bits - code_bits
+        flips1 = [1 << i for i in range(extra)]
         flips2 = [1 << i | 1 << j for i, j in itertools.combinations(range(extra), 2)]
 
         def send(who: np.ndarray, word: np.ndarray, masks: list[int], at_home: bool) -> None:
             for m in masks:
-                keys.append((np.int64(seg) << np.int64(40)) | ((rest[who] ^ m) << _CODE_BITS) | word)
+                keys.append((np.int64(seg) << np.int64(40)) | ((rest[who] ^ m) << code_bits) | word)
                 index.append(who)
                 home.append(np.full(len(who), at_home))
 
         everyone = np.arange(len(prints))
-        send(everyone, nearest, flips0, True)
+        send(everyone, nearest, [0], True)
         exact, other = np.flatnonzero(s == 0), np.flatnonzero(s > 0)
         send(exact, nearest[exact], flips1 + flips2, False)
         send(other, nearest[other], flips1, False)
-        for a in range(1, _CODE_BITS + 1):  # two flips a < b with a xor b = syndrome
+        for a in range(1, code_bits + 1):  # codewords two flips away: places a < b with a xor b = syndrome
             b = s[other] ^ a
             ok = b > a
             who = other[ok]
-            send(who, code[who] ^ (1 << (a - 1)) ^ (1 << (b[ok] - 1)), flips0, False)
+            send(who, code[who] ^ (1 << (a - 1)) ^ (1 << (b[ok] - 1)), [0], False)
     return np.concatenate(keys), np.concatenate(index), np.concatenate(home)
 
 
-def _spread(prints: DataFrame) -> DataFrame:
+def _spread(prints: DataFrame, distance: int) -> DataFrame:
     def run(batches):
         for b in batches:
             p = b.column("print").to_numpy().view(np.uint64)
             if len(p):
-                key, at, home = anchors(p)
+                key, at, home = anchors(p, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p[at].view(np.int64)), pa.array(home)], names=["anchor", "print", "home"])
 
     return arrow_map(prints, run, "anchor long, print long, home boolean")
@@ -206,11 +214,9 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: 16 hex digits, and the smallest id reachable by links."""
-    if distance > DISTANCE:
-        raise ValueError(f"the segments hold for {DISTANCE} bits at most")
     prints = written(fingerprints(docs, text, doc_id, shingle), "simhash-prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    met = _spread(distinct.select("print")).repartition("anchor").sortWithinPartitions("anchor")
+    met = _spread(distinct.select("print"), distance).repartition("anchor").sortWithinPartitions("anchor")
     roots = components(arrow_map(met, _compare(distance), "a long, b long"), "simhash-links")
     rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
