@@ -109,11 +109,12 @@ def _lengths(col: pa.Array) -> np.ndarray:
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The concatenation of flat[s : s + n] for all s, n."""
-    total = int(lens.sum())
+    total = int(lens.sum(dtype=np.int64))
     if not total:
         return flat[:0]
-    before = np.cumsum(lens) - lens
-    return flat[np.repeat(starts - before, lens) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 30 else np.int64  # less memory to go through
+    before = np.cumsum(lens, dtype=kind) - lens.astype(kind)
+    return flat[np.repeat(starts.astype(kind) - before, lens) + np.arange(total, dtype=kind)]
 
 
 def binary_column(parts: list[bytes]) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import array
+import operator
 import re
 from collections.abc import Callable
 
@@ -46,14 +48,14 @@ class _Index(dict):
 class PieceMemo:
     """Token ids of texts, each distinct piece being encoded once while the memo holds it; it is emptied when full."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
         self.split, self.encode, self.limit = split, encode, limit
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lens = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.lens = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -69,10 +71,13 @@ class PieceMemo:
             self._clear()
         found = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        at = np.empty(int(counts.sum()), np.int64)
-        get, to = self.index.__getitem__, 0
+        at = np.empty(int(counts.sum()), np.int32)
+        to = 0
         for f in found:
-            at[to : to + len(f)] = np.fromiter(map(get, f), np.int64, len(f))
+            if len(f) > 1:
+                at[to : to + len(f)] = array.array("i", operator.itemgetter(*f)(self.index))
+            elif f:
+                at[to] = self.index[f[0]]
             to += len(f)
         del found
         if new := self.index.new:
@@ -86,6 +91,6 @@ class PieceMemo:
             self.used += len(ids)
             self.index.new = []
         per = self.lens[at]
-        totals = np.concatenate(([0], np.cumsum(per)))
+        totals = np.concatenate(([0], np.cumsum(per, dtype=np.int64)))
         ends = np.cumsum(counts)
         return ragged_take(self.flat, self.starts[at], per), totals[ends] - totals[ends - counts]

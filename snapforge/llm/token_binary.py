@@ -48,11 +48,23 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = PieceMemo(_PLAIN.findall, self._encode)
+        # For pieces: the same model, fed the byte alphabet itself, with byte FF between pieces; no UTF-8 text has it.
+        self.by_piece = Tokenizer.from_file(path)
+        self.by_piece.encode_special_tokens = True
+        self.alphabet = _byte_alphabet()
+        self.mark = self.by_piece.token_to_id(chr(self.alphabet[0xFF]))
+        self.by_piece.pre_tokenizer = pre_tokenizers.Split(chr(self.alphabet[0xFF]), "isolated")
+        self.memo = PieceMemo(_PLAIN.findall, self._encode_pieces if self.mark is not None else self._encode)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"\xff".join([p.encode() for p in pieces]).decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.by_piece.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        return ids[ids != self.mark], np.diff(np.concatenate(([-1], ends))) - 1
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,61 +79,82 @@ class LibraryEncoder:
         return [next(fast) if p else self._encode([t])[0] for t, p in zip(texts, plain)]
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The code point that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves,
+    the others take the code points from 256 up in turn."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(maxsize=1)
 def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, record): each document's ids with the end id, packed."""
+def ranges(docs: DataFrame, doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[int]:
+    """Upper ends of document ids (one fewer than files), by approximate quantiles, for files of about ``file_bytes``.
+
+    The number of files grows with the input (by Spark's estimate of its size, without reading texts); the driver holds
+    one number for each.
+    """
+    n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // file_bytes
+    n = min(n, 1 << 20)
+    if n < 1:
+        return []
+    got = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / (n + 1) for i in range(1, n + 1)], max(10_000, 20 * n))).first()[0]
+    return sorted(set(got or []))
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", bounds: list[int] = ()) -> DataFrame:
+    """(shard, doc_id, n_tokens, record): each document's ids with the end id, packed, and the range it falls in."""
+    edges = np.array(bounds, np.int64)
 
     def run(batches):
         lib = library(vocabulary)
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for b in chunks(whole, text):
-                parts = [x for ids in lib.ids([t or "" for t in b.column(text).to_pylist()]) for x in (ids, end)]
+            for b in chunks(whole, "text"):
+                parts = [x for ids in lib.ids([t or "" for t in b.column("text").to_pylist()]) for x in (ids, end)]
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 sizes = sizes[0::2] + sizes[1::2]
                 records = simple8b.encode(np.concatenate(parts), sizes)
-                yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=["doc_id", "n_tokens", "record"])
-
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_tokens long, record binary")
-
-
+                own = b.column("doc_id")
+                shard = np.searchsorted(edges, pc.fill_null(own, -(1 << 63)).to_numpy(), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), own, pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=["shard", "doc_id", "n_tokens", "record"])
 
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "shard int, doc_id long, n_tokens long, record binary")
 
-def write_files(packed: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the files and returns (shard, path, n_ids): a row for each, in order of shard."""
-    import math
 
-    spark = packed.sparkSession
-    total = packed.agg(F.sum(F.length("record"))).first()[0] or 0
-    n = max(1, math.ceil(total / file_bytes))
+def write_files(packed: DataFrame, folder: str, n_shards: int) -> DataFrame:
+    """Writes a file for each shard that has documents and returns (shard, path, n_ids): a row for each."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        out, count = None, 0
         fs, base = _filesystem(folder)
-        mine = f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
+        out, now, count, mine = None, None, 0, ""
+
+        def done():
+            out.close()
+            path = f"{base}/part-{now:06d}.s8f"
+            fs.move(mine, path)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([path]), pa.array([count], pa.int64())], names=["shard", "path", "n_ids"])
+
         for b in batches:
-            if out is None:
-                out = fs.open_output_stream(mine)
-                out.write(MAGIC)
-            for i, r in zip(b.column("doc_id").to_pylist(), b.column("record").to_pylist()):
+            for shard, i, n, r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "record"))):
+                if shard != now:
+                    if out is not None:
+                        yield done()
+                    now, count, mine = shard, 0, f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(mine)
+                    out.write(MAGIC)
                 out.write(struct.pack(_HEAD, i or 0, i is not None) + r)
-            count += pc.sum(b.column("n_tokens")).as_py() or 0
+                count += n
         if out is not None:
-            out.close()
-            path = f"{base}/part-{shard:06d}.s8f"
-            fs.move(mine, path)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_ids": [count]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())]))
+            yield done()
 
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
-    dealt = packed.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("record")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("record"))
+    dealt = packed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("record"))
     return written(arrow_map(dealt, run, "shard int, path string, n_ids long"), "id-files")
 
 
@@ -186,5 +219,5 @@ def read_files(files: DataFrame, folder: str, with_ids: bool = False, chunk: int
 def store(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
     """Encode, write the files, and return their list and folder."""
     folder = folder or scratch_path(spark, "token-ids")
-    packed = written(pack(docs, vocabulary, end_id), "packed-ids")
-    return write_files(packed, folder, file_bytes), folder
+    bounds = ranges(docs, file_bytes=file_bytes)
+    return write_files(pack(docs, vocabulary, end_id, bounds=bounds), folder, len(bounds) + 1), folder
