@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -78,6 +80,15 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are done, which Spark removes once no plan refers to them. The last
+    plan is let go of only a moment after its job, hence twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with small batches and the package at hand on the executors."""
     spark = df.sparkSession

@@ -6,11 +6,11 @@ up in the same document) has token sets with a Jaccard similarity of 0.8 or more
 without words stay.
 
 Tokens are 64-bit numbers whose leading bits are the rarity class of the shingle's first word, from a table of word counts
-over all texts in ``BUCKETS`` counters, so plain order is rarest first. Lines with equal token sets are one set. Similar
+over all texts in ``2 ** BUCKET_BITS`` counters, so plain order is rarest first. Lines with equal token sets are one set. Similar
 sets share one of their first n - ceil(0.8 n) + 1 tokens (prefix filter); tokens that a single set has are dropped at once.
 The sets that share a token stand in order of their first line, and each is compared with those before it: first with the
-first, then with the next two, the next four and so on, until it is known as similar, so that a group of near copies costs
-about a comparison each and never all pairs. Candidates must pass the length and positional filters before the whole token
+first, then with the next 16, the next 256 and so on, until it is known as similar, so that a group of near copies
+costs about a comparison each and never all pairs. Candidates must pass the length and positional filters before the whole token
 sets, read again from the lines in question alone, are compared.
 
 Nulls: a null text stays null and has no lines; a null id comes before all others, and ids are compared as longs. Rows of
@@ -22,30 +22,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from snapforge.llm.common import discard, written
+from snapforge.llm.common import discard, release, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BUCKETS = 1 << 14
+#: Counters of words, as a power of two.
+BUCKET_BITS = 14
+_SPACE = "\t\n\u000b\u000c\r"
+
+
+def _spaced(text: Column) -> Column:
+    """White space as spaces; translate() is slow, so only texts that hold any but spaces and line ends go through it."""
+    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\u000b")) | F.contains(text, F.lit("\u000c")) | F.contains(text, F.lit("\r"))
+    return F.when(rare, F.translate(text, _SPACE, " " * len(_SPACE))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\u000b\u000c\r", "    "), " "), "")
+    return F.array_remove(F.split(_spaced(line), " "), "")
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """A scalar: the class (bits of the count) of each bucket of words."""
-    words = docs.select(F.explode(_words(F.translate("text", "\n", " "))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(counts, "b", "left")
-    held = written(every.select("b", F.coalesce(F.floor(F.log2("n")).cast("int") + 1, F.lit(0)).alias("class")), "word-classes")
-    return held.agg(F.sort_array(F.collect_list(F.struct("b", "class"))).getField("class").alias("classes")).scalar()
+def _bucket(word_hash: Column) -> Column:
+    return F.shiftrightunsigned(word_hash, 64 - BUCKET_BITS).cast("int")
 
 
-def _tokens(words: str, classes: str) -> Column:
-    """Ascending distinct tokens of an array of words."""
-    more = ", ".join(f"get({words}, i + {k})" for k in range(1, SHINGLE))
-    rank = f"cast(get({classes}, cast(pmod(xxhash64(x), {BUCKETS}L) as int)) as bigint)"
-    return F.expr(f"sort_array(array_distinct(transform(slice({words}, 1, greatest(size({words}) - {SHINGLE - 1}, 1)), (x, i) -> shiftleft({rank}, 57) | shiftrightunsigned(xxhash64(x, {more}), 7))))")
+def _rarity(docs: DataFrame) -> Column:
+    """A constant array: the class (bits of the count) of each bucket of words, counted over all texts. The driver holds
+    one small number for each bucket, whatever the input's size."""
+    words = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    classes = [0] * (1 << BUCKET_BITS)
+    for b, n in counts.collect():
+        classes[b] = n.bit_length()
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded into one literal
 
 
 def _need(n: Column) -> Column:
@@ -53,62 +60,79 @@ def _need(n: Column) -> Column:
 
 
 def _lines(rows: DataFrame, classes: Column) -> DataFrame:
-    """rows (doc, print, line number `at`, line) -> the same with tokens t, and two hashes of the set."""
-    out = rows.withColumn("w", _words(F.col("line"))).where("size(w) > 0").withColumn("classes", classes)
-    out = out.withColumn("t", _tokens("w", "classes"))
+    """rows (doc, print, line number `at`, line) -> the same with ascending distinct tokens t, and two hashes of the set."""
+    def token(first: Column, i: Column) -> Column:
+        rarity = F.get(classes, _bucket(first)).cast("long")
+        return F.shiftleft(rarity, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(first, *[F.get("h", i + k) for k in range(1, SHINGLE)]), 7))
+
+    out = rows.withColumn("w", _words(F.col("line"))).where("size(w) > 0").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    out = out.withColumn("t", F.sort_array(F.array_distinct(F.transform(F.slice("h", 1, F.greatest(F.size("h") - (SHINGLE - 1), F.lit(1))), token))))
     return out.select("doc", "print", "at", "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(17), "t").alias("h2"))
 
 
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, print, at): the lines to remove; doc is the id (null: the least long), print a hash of the text, at from 0."""
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
     classes = _rarity(docs)
     split = docs.select("doc", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     n = F.size("t")
     lines = written(_lines(split, classes).select("doc", "print", "at", "h1", "h2", n.alias("n"), F.slice("t", F.lit(1), (n - _need(n) + 1).cast("int")).alias("prefix")), "lines")
     place = F.struct("doc", "at", "print")
-    sets = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-sets")
 
-    # prefix filter: sets by token, in order of their first line
-    rows = sets.select("h1", "h2", "place", "n", F.posexplode("prefix").alias("i", "token"))
-    often = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("f")).where("f > 1").select("token")
-    shared = rows.join(often, "token")
-    ranked = written(shared.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("place", "h1", "h2"))), "line-tokens")
+    # prefix filter: the sets that share a token, in order of their first line
+    sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = sets.select("place.doc", "place.at", "place.print", "n", F.posexplode("prefix").alias("i", "token"))
+    order = Window.partitionBy("token").orderBy("doc", "at", "print")
+    ranked = rows.withColumn("nth", F.row_number().over(order)).withColumn("more", F.lead("n").over(order).isNotNull())
+    ranked = written(ranked.where("nth > 1 or more").drop("more"), "line-tokens")
+    del sets, rows
+    release(spark)
 
     # the whole token sets of the lines in question, from the texts
-    wanted = ranked.select("h1", "h2", "place").distinct()
-    by_doc = wanted.groupBy(F.col("place.doc").alias("doc"), F.col("place.print").alias("print")).agg(F.collect_set("place.at").alias("ats"))
-    again = docs.withColumn("print", F.xxhash64("text")).join(by_doc, ["doc", "print"]).withColumn("all", F.split("text", "\n"))
-    again = again.select("doc", "print", F.explode("ats").alias("at"), "all").select("doc", "print", "at", F.expr("get(all, at)").alias("line"))
-    whole = written(_lines(again, classes).select("h1", "h2", "t").dropDuplicates(["h1", "h2"]), "line-wholes")
-
-    # look back over 1, 2, 4, ... places until a similar set is found
-    matched, low, span, old = None, 1, 1, []
-    todo = ranked
+    by_doc = ranked.groupBy("doc", "print").agg(F.collect_set("at").alias("ats"))
+    again = docs.withColumn("print", F.xxhash64("text")).join(by_doc, ["doc", "print"]).select("doc", "print", F.explode(F.expr("transform(ats, a -> struct(a as at, get(split(text, '\n'), a) as line))")).alias("l")).select("doc", "print", "l.at", "l.line")
+    whole = written(_lines(again, classes).select("doc", "at", "print", "t").dropDuplicates(["doc", "at", "print"]), "line-wholes")
+    del by_doc, again
+    release(spark)
+
+    # look back over the first, the next 16, the next 256, ... until a similar set is found
+    key, other = ["doc", "at", "print"], ["g_doc", "g_at", "g_print"]
+    matched, low, span, todo, tables = None, 1, 1, ranked, []
+    pairs = full = found = before = left = None
     most = ranked.agg(F.max("nth")).first()[0] or 0
     while low < most:
-        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"))
+        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", *[F.col(k).alias(g) for k, g in zip(key, other)], F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"))
         overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
         long_enough = (F.col("m") >= _need(F.col("n"))) & (F.col("n") >= _need(F.col("m")))
-        in_place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= overlap - F.least("i", "j")
-        pairs = todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place).select("h1", "h2", "g1", "g2").distinct()
-        pairs = pairs.join(whole, ["h1", "h2"]).join(whole.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("t").alias("u")), ["g1", "g2"])
+        in_place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= overlap  # holds at the first shared token
+        pairs = written(todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place).select(*key, *other).distinct(), "line-pairs")
+        full = pairs.join(whole, key).join(whole.select(*[F.col(k).alias(g) for k, g in zip(key, other)], F.col("t").alias("u")), other)
         same = F.size(F.array_intersect("t", "u"))
         alike = same >= F.lit(SIMILARITY) * (F.size("t") + F.size("u") - same) - F.lit(1e-9)
-        found = written(pairs.where(alike).select("h1", "h2").distinct(), "line-matches")
+        found = written(full.where(alike).select(*key).distinct(), "line-matches")
+        discard(pairs)
+        tables.append(found)
         matched = found if matched is None else matched.unionByName(found)
-        low, span = low + span, 2 * span
-        left = written(todo.where(F.col("nth") > low).join(found, ["h1", "h2"], "left_anti"), "line-left")
-        if todo is not ranked:
-            discard(todo)
-        todo = left
-        if not todo.take(1):
+        low, span = low + span, 16 * span
+        if low >= most:
             break
-    firsts = sets.select("h1", "h2", "place") if matched is None else sets.join(matched.withColumn("similar", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "place", "similar")
+        left = written(todo.where(F.col("nth") > low).join(found, key, "left_anti"), "line-left")
+        tables.append(left)
+        todo = left
+        most = todo.agg(F.max("nth")).first()[0] or 0
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"))
     if matched is None:
-        firsts = firsts.withColumn("similar", F.lit(None).cast("boolean"))
-    judged = lines.join(firsts, ["h1", "h2"])
-    return judged.where(F.col("similar") | (F.struct("doc", "at", "print") != F.col("place"))).select("doc", "print", "at")
+        firsts = firsts.withColumn("similar", F.lit(False))
+    else:
+        firsts = firsts.join(matched.distinct().select(F.struct(*key).alias("place"), F.lit(True).alias("similar")), "place", "left")
+    judged = lines.select("doc", "print", "at", "h1", "h2").join(firsts, ["h1", "h2"])
+    out = written(judged.where(F.coalesce("similar", F.lit(False)) | (F.struct("doc", "at", "print") != F.col("place"))).select("doc", "print", "at"), "lines-removed")
+    del firsts, judged, matched, pairs, full, found, before, left
+    for used in (lines, ranked, whole, *tables):
+        discard(used)
+    release(spark)
+    return out
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -23,13 +23,11 @@ n_words, n_removed or kept are replaced. Empty tables give empty results.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from snapforge.llm.common import arrow_map, chunks, discard, written
+from snapforge.llm.common import arrow_map, chunks, discard, release, written
 
 WINDOW, GRAM = 20, 8
 SHARD_WORDS = 150_000
@@ -299,12 +297,6 @@ def _shards(limit: int):
     return run
 
 
-def _release(spark) -> None:
-    """Lets go of the shuffle files of steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """(doc, print, start, stop): runs of windows that occurred before; doc is the id (null: the least long), print a hash of the text."""
     spark = docs.sparkSession
@@ -314,12 +306,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_w
     hits = written(found.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "owner", "n")).alias("hits")), "anchor-hits")
     del shared
     discard(found)
-    _release(spark)
+    release(spark)
     segments = _segments(rows.select("doc", F.xxhash64("text").alias("print"), "text").join(hits, "doc"), hot)
     dealt = segments.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "doc", "print", "start")
     judged = written(arrow_map(dealt, _shards(shard_words), "kind byte, doc long, print long, start long, stop long, h1 long, h2 long"), "judged-windows")
     del segments, dealt
-    _release(spark)
+    release(spark)
     open_ = judged.where("kind = 1")
     first = open_.groupBy("h1", "h2").agg(F.min(F.struct("doc", "print", "start")).alias("first"))
     later = open_.join(first, ["h1", "h2"]).where(F.struct("doc", "print", "start") != F.col("first"))
