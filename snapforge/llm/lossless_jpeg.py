@@ -139,6 +139,8 @@ def _parse(data: bytes):
         if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        if at + 2 + size > len(data):
+            raise ValueError("a segment is cut short")
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xC4:
