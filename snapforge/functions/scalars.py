@@ -74,7 +74,7 @@ def human_bytes(n) -> Column:
     n = _c(n)
     out = F.format_string("%d B", n.cast("long"))
     for unit, size in (("KiB", 1 << 10), ("MiB", 1 << 20), ("GiB", 1 << 30)):
-        out = F.when(n >= size, F.format_string(f"%.1f {unit}", n.cast("double") / size)).otherwise(out)
+        out = F.when(n >= size, F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / size, 1))).otherwise(out)
     return out
 
 
