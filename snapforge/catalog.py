@@ -214,38 +214,100 @@ def candidate_blocks(spark, sf_dir):
     return match.blocks(removed, added, ["partition_no"]).select("partition_no", "target_path", "source_path", "class")
 
 
-@query()
+# The distance by rows of its table, one character of the (byte-)longer string at a time, for all pairs together.
+_DIGIT = "strpos('0123456789', {c}) > 0"
+_COST = f"CASE WHEN c = l.y[j] THEN 0.0 WHEN {_DIGIT.format(c='c')} AND {_DIGIT.format(c='l.y[j]')} THEN l.w WHEN {_DIGIT.format(c='c')} OR {_DIGIT.format(c='l.y[j]')} THEN 0.7 ELSE 1.0 END"
+_LET = "list_transform([{v}], lambda {n}: {e})[1]"
+def _levenshtein(n: str = "") -> str:
+    """CTEs z, lev and d over the pairs (u, v, w) of want; names end in n."""
+    return f"""z{n} AS (SELECT u, v, w, strlen(u) < strlen(v) AS turn FROM (SELECT DISTINCT u, v, w FROM want{n}) q),
+ lev{n}(u, v, w, i, x, y, cells) AS (
+  SELECT u, v, w, 0::BIGINT, string_split(CASE WHEN turn THEN v ELSE u END, ''), string_split(CASE WHEN turn THEN u ELSE v END, ''),
+    list_transform(range(0, length(CASE WHEN turn THEN u ELSE v END) + 1), lambda j: j::DOUBLE) FROM z{n}
+  UNION ALL
+  SELECT l.u, l.v, l.w, l.i + 1, l.x, l.y, {_LET.format(v='x[l.i + 1]', n='c', e=_LET.format(v="list_concat([l.cells[1] + 1], list_transform(range(1, len(l.cells)), lambda j: least(l.cells[j + 1] + 1, l.cells[j] + " + _COST + ")))", n='base', e="list_transform(range(0, len(l.cells)), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: base[k + 1] - k)))"))}
+  FROM lev{n} l WHERE l.i < CASE WHEN l.x[1] = '' THEN 0 ELSE len(l.x) END),
+ d{n} AS (SELECT u, v, w, cells[-1] AS dist, list_min(cells) AS least_cell FROM lev{n} WHERE i = CASE WHEN x[1] = '' THEN 0 ELSE len(x) END)"""
+
+
+def _scored(source: str, min_score: float, first_weight: float, keys: str, n: str = "") -> str:
+    """CTEs want, z, lev, d and e: e has keys, target_path, source_path and score of the pairs of ``source`` (a query)."""
+    return f"""pairs{n} AS ({source}),
+ parts{n} AS (SELECT *, list_filter(string_split(target_path, '/'), lambda q: q <> '') AS p, list_filter(string_split(source_path, '/'), lambda q: q <> '') AS q FROM pairs{n}),
+ want{n} AS (SELECT target_path AS u, source_path AS v, 0.3::DOUBLE AS w FROM parts{n} UNION ALL SELECT coalesce(p[-1], ''), coalesce(q[-1], ''), 1.0 FROM parts{n}), {_levenshtein(n)},
+ terms{n} AS (SELECT parts{n}.*, a.dist, a.least_cell, b.dist AS name_dist, greatest(strlen(target_path), 200) * 0.3 AS most, abs(strlen(target_path) - strlen(source_path)) AS gap, greatest(strlen(target_path), strlen(source_path)) AS longest,
+    greatest(len(p), len(q)) AS deep, range(1, least(len(p), len(q)) + 1) AS spots, greatest(strlen(coalesce(p[-1], '')), strlen(coalesce(q[-1], ''))) AS name_len
+  FROM parts{n} JOIN d{n} a ON a.u = target_path AND a.v = source_path AND a.w = 0.3 JOIN d{n} b ON b.u = coalesce(p[-1], '') AND b.v = coalesce(q[-1], '') AND b.w = 1.0),
+ sums{n} AS (SELECT *, coalesce(list_sum(list_transform(spots, lambda k: 1 / sqrt(k))), 0) AS weight, len(list_filter(spots, lambda k: p[k] = q[k])) AS common,
+    coalesce(list_sum(list_transform(spots, lambda k: CASE WHEN p[k] = q[k] THEN 1 / sqrt(k) WHEN k IN (2, 3) THEN -0.3 / k ELSE 0.0 END)), 0) AS place FROM terms{n}),
+ e{n} AS (SELECT * FROM (SELECT {keys}target_path, source_path, CASE WHEN gap > most OR least_cell > most THEN 0.0 ELSE greatest(0.0, least(1.0,
+    0.5 * CASE WHEN longest = 0 THEN 1.0 ELSE 1 - dist / longest END + 0.3 * CASE WHEN deep > 0 THEN common / deep ELSE 0.0 END + 0.2 * CASE WHEN weight > 0 THEN place / weight ELSE 0.0 END
+    - CASE WHEN deep > 0 THEN abs(len(p) - len(q)) / deep * 0.3 ELSE 0.0 END - CASE WHEN len(p) > 0 AND len(q) > 0 AND p[1] <> q[1] THEN {first_weight} * 0.1 ELSE 0.0 END
+    - CASE WHEN coalesce(p[-1], '') <> coalesce(q[-1], '') AND name_len > 0 THEN name_dist / name_len * 0.15 ELSE 0.0 END)) END AS score FROM sums{n}) f WHERE score >= {min_score})"""
+
+
+_FILTERED = "SELECT {keys}target_path, source_path FROM ({blocks}) x WHERE abs(t_bytes - s_bytes) <= 0.4 * greatest(t_bytes, s_bytes) AND (t_first = s_first OR t_ext = s_ext)"
+
+
+def _greedy(group: str, name: str = "g", edges: str = "e") -> str:
+    """CTEs that take the edges in order if both ends are free; ends of different groups are different."""
+    return f"""{name}o AS (SELECT *, {group} || ':' || target_path AS te, {group} || ':' || source_path AS se, row_number() OVER (ORDER BY score DESC, target_path, source_path, {group}) AS n FROM {edges}),
+ {name}r(n, ts, ss, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false UNION ALL
+  SELECT o.n, CASE WHEN ok THEN list_append(r.ts, o.te) ELSE r.ts END, CASE WHEN ok THEN list_append(r.ss, o.se) ELSE r.ss END, ok
+  FROM {name}r r JOIN {name}o o ON o.n = r.n + 1, LATERAL (SELECT NOT list_contains(r.ts, o.te) AND NOT list_contains(r.ss, o.se) AS ok) y),
+ {name} AS (SELECT o.* FROM {name}o o JOIN {name}r r USING (n) WHERE r.taken)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ALL_PAIRS = f"SELECT DISTINCT target_path, source_path FROM ({_BLOCKS}) x"
+_EXACT_BLOCKS = _BLOCKS.replace("PARTITION BY partition_no, target_path", "PARTITION BY partition_no, s_sha, target_path").replace("tk.partition_no = sk.partition_no AND", "tk.partition_no = sk.partition_no AND t_sha = s_sha AND")
+
+
+@query(_recursive(f"{_POOLS}, k AS (SELECT partition_no, target_path, source_path, string_split(target_path, '/')[-1] AS u, string_split(source_path, '/')[-1] AS v FROM ({_BLOCKS}) x), want AS (SELECT u, v, 0.3::DOUBLE AS w FROM k), {_levenshtein()} SELECT partition_no, target_path, source_path FROM (SELECT *, row_number() OVER (PARTITION BY partition_no, target_path ORDER BY floor(dist * 1000), source_path) AS n FROM k JOIN d USING (u, v)) r WHERE n <= 5"))
 def candidate_topk(spark, sf_dir):
     """The five candidates with the nearest names, where there are more (the engine's own bound is 500)."""
     removed, added = _pools(spark, sf_dir)
     return match.capped(match.blocks(removed, added, ["partition_no"]), ["partition_no"], 5).select("partition_no", "target_path", "source_path")
 
 
-@query()
+@query(_recursive(f"{_POOLS}, k AS ({_ALL_PAIRS}), want AS (SELECT target_path AS u, source_path AS v, 0.3::DOUBLE AS w FROM k), {_levenshtein()} SELECT u AS target_path, v AS source_path, round(dist, 9) AS distance FROM d"))
 def levenshtein_weighted(spark, sf_dir):
     from snapforge.functions.similarity import weighted_levenshtein
 
     removed, added = _pools(spark, sf_dir)
-    pairs = match.blocks(removed, added, ["partition_no"]).select("target_path", "source_path")
+    pairs = match.blocks(removed, added, ["partition_no"]).select("target_path", "source_path").distinct()
     return pairs.withColumn("distance", F.round(weighted_levenshtein("target_path", "source_path", 0.3), 9))
 
 
-@query()
+@query(_recursive(f"{_POOLS}, {_scored(_ALL_PAIRS, 0.0, 5.0, '')} SELECT target_path, source_path, round(score, 9) AS score FROM e"))
 def path_similarity(spark, sf_dir):
     from snapforge.functions.similarity import path_similarity as similarity
 
     removed, added = _pools(spark, sf_dir)
-    pairs = match.blocks(removed, added, ["partition_no"]).select("target_path", "source_path")
+    pairs = match.blocks(removed, added, ["partition_no"]).select("target_path", "source_path").distinct()
     return pairs.withColumn("score", F.round(similarity("target_path", "source_path"), 9))
 
 
-@query()
+_EXACT = f"{_POOLS}, {_scored(_FILTERED.format(keys='partition_no, s_sha AS sha256, ', blocks=_EXACT_BLOCKS), 0.0, 0.0, 'partition_no, sha256, ')}, {_greedy('partition_no || sha256')}"
+
+
+@query(_recursive(f"{_EXACT} SELECT partition_no, sha256, target_path, source_path, round(score, 9) AS score FROM g"))
 def rename_exact(spark, sf_dir):
     out = rename.exact(*_pools(spark, sf_dir))
     return out.withColumn("score", F.round("score", 9))
 
 
-@query()
+_LEFT = """, sk2 AS (SELECT sk.* FROM sk WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.partition_no = sk.partition_no AND g.source_path = sk.source_path)),
+ tk2 AS (SELECT tk.* FROM tk WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.partition_no = tk.partition_no AND g.target_path = tk.target_path))"""
+
+
+_BLOCKS_LEFT = _BLOCKS.replace("FROM tk JOIN sk ON tk.partition_no = sk.partition_no", "FROM tk2 tk JOIN sk2 sk ON tk.partition_no = sk.partition_no")
+
+
+@query(_recursive(f"{_EXACT}{_LEFT}, {_scored(_FILTERED.format(keys='partition_no, ', blocks=_BLOCKS_LEFT), 0.6, 0.0, 'partition_no, ', '2')}, {_greedy('partition_no', 'h', 'e2')} SELECT partition_no, target_path, source_path, round(score, 9) AS score, 1 AS pass FROM g UNION ALL SELECT partition_no, target_path, source_path, round(score, 9), 2 FROM h"))
 def rename_fuzzy(spark, sf_dir):
     return rename.matches(*_pools(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
@@ -264,9 +326,15 @@ def bijection(spark, sf_dir):
     return match.bijection(e.select(F.format_string("t%03d", F.col("t").cast("long")).alias("target_path"), F.format_string("s%03d", F.col("s").cast("long")).alias("source_path"), "score"))
 
 
-@query()
+_PAGES = f"""WITH paths AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, min(page_id) AS page_id FROM pages GROUP BY 1),
+removed AS (SELECT 0 AS partition_no, path AS source_path, '' AS sha256 FROM paths WHERE page_id % 2 = 0), added AS (SELECT 0 AS partition_no, path AS target_path, '' AS sha256 FROM paths WHERE page_id % 2 = 1),
+sk AS (SELECT partition_no, sha256 AS s_sha, {_keys('s', 'source_path')} FROM removed), tk AS (SELECT partition_no, sha256 AS t_sha, {_keys('t', 'target_path')} FROM added)"""
+
+
+@query(_recursive(f"{_PAGES}, {_scored(_FILTERED.format(keys='partition_no, ', blocks=_BLOCKS), 0.5, 5.0, 'partition_no, ')}, {_greedy('partition_no')} SELECT target_path, source_path, round(score, 9) AS score FROM g"))
 def url_paths_match(spark, sf_dir):
-    paths = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://", "").alias("path")).dropDuplicates(["path"])
+    """Urls of pages with odd ids, matched with those of even ids."""
+    paths = table(spark, sf_dir, "pages").groupBy(F.regexp_replace("url", r"^[a-z]+://", "").alias("path")).agg(F.min("page_id").alias("page_id"))
     s, t = paths.where("page_id % 2 = 0").select(F.col("path").alias("source_path")), paths.where("page_id % 2 = 1").select(F.col("path").alias("target_path"))
     return match.best_matches(s, t).withColumn("score", F.round("score", 9))
 
@@ -275,7 +343,13 @@ def _origins(base: DataFrame) -> DataFrame:
     return base.where("doc_id % 4 = 0").select("partition_no", F.regexp_replace("path", "-1.0.", "-0.9.").alias("path"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("blob-"), F.col("doc_id").cast("string")).alias("blob_id"))
 
 
-@query()
+_ORIGINS = f"""{_BT}, removed AS (SELECT partition_no, regexp_replace(path, '-1.0.', '-0.9.') AS source_path, 'blob-' || doc_id AS sha256 FROM b WHERE doc_id % 4 = 0),
+added AS (SELECT t.partition_no, t.path AS target_path, t.sha256 FROM t LEFT JOIN b ON b.partition_no = t.partition_no AND b.path = t.path WHERE b.path IS NULL
+  AND NOT EXISTS (SELECT 1 FROM (SELECT partition_no, dev, ino, min(path) AS canonical FROM t WHERE nlink > 1 GROUP BY ALL HAVING count(*) > 1) l WHERE l.partition_no = t.partition_no AND l.dev = t.dev AND l.ino = t.ino AND t.nlink > 1 AND l.canonical <> t.path)),
+sk AS (SELECT partition_no, sha256 AS s_sha, {_keys('s', 'source_path')} FROM removed), tk AS (SELECT partition_no, sha256 AS t_sha, {_keys('t', 'target_path')} FROM added)"""
+
+
+@query(_recursive(f"{_ORIGINS}, {_scored(_FILTERED.format(keys='partition_no, s_sha AS blob_id, ', blocks=_BLOCKS), 0.5, 5.0, 'partition_no, blob_id, ')}, {_greedy('partition_no')} SELECT partition_no, target_path AS new_path, 'blob_ref' AS data_kind, 'lazy' AS patch_kind, blob_id AS source_blob_id FROM g"))
 def blob_lookup(spark, sf_dir):
     b, t = _both(spark, sf_dir)
     out = rename.blob_lookup(diff.records(b, t), _origins(b))
