@@ -10,8 +10,9 @@ over all texts in ``2 ** BUCKET_BITS`` counters, so plain order is rarest first.
 sets share one of their first n - ceil(0.8 n) + 1 tokens (prefix filter); tokens that a single set has are dropped at once.
 The sets that share a token stand in order of their first line, and each is compared with those before it: first with the
 first, then with the next 16, the next 256 and so on, until it is known as similar, so that a group of near copies
-costs about a comparison each and never all pairs. Candidates must pass the length and positional filters before the whole token
-sets, read again from the lines in question alone, are compared.
+costs about a comparison each and never all pairs. Candidates must pass the length and positional filters (the latter holds
+at the first token that two similar sets share) and a bound on differing tokens from 256-bit bitmaps, before the whole
+token sets, read again from the lines in question alone, are compared.
 
 Nulls: a null text stays null and has no lines; a null id comes before all others, and ids are compared as longs. Rows of
 one id with different texts are separate: lines in the same place come in the order of their text's hash, and equal rows
@@ -27,6 +28,10 @@ from snapforge.llm.common import discard, release, written
 SHINGLE, SIMILARITY = 5, 0.8
 #: Counters of words, as a power of two.
 BUCKET_BITS = 14
+#: Words of 64 bits of a set's bitmap.
+BITMAPS = 4
+#: Pairs that may be broadcast; more of them are joined by shuffles.
+BROADCAST_PAIRS = 50_000
 _SPACE = "\t\n\u000b\u000c\r"
 
 
@@ -70,6 +75,12 @@ def _lines(rows: DataFrame, classes: Column) -> DataFrame:
     return out.select("doc", "print", "at", "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(17), "t").alias("h2"))
 
 
+def _bitmap() -> list[Column]:
+    """s0, s1, ...: each token of t turns one bit. Two sets differ in at least as many tokens as their bitmaps in bits."""
+    turn = "acc ^ shiftleft(1L, cast(x & 63 as int))"
+    return [F.expr(f"aggregate(t, 0L, (acc, x) -> if(pmod(shiftrightunsigned(x, 6), {BITMAPS}) = {k}, {turn}, acc))").alias(f"s{k}") for k in range(BITMAPS)]
+
+
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, print, at): the lines to remove; doc is the id (null: the least long), print a hash of the text, at from 0."""
     spark = docs.sparkSession
@@ -91,9 +102,13 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     # the whole token sets of the lines in question, from the texts
     by_doc = ranked.groupBy("doc", "print").agg(F.collect_set("at").alias("ats"))
-    again = docs.withColumn("print", F.xxhash64("text")).join(by_doc, ["doc", "print"]).select("doc", "print", F.explode(F.expr("transform(ats, a -> struct(a as at, get(split(text, '\n'), a) as line))")).alias("l")).select("doc", "print", "l.at", "l.line")
-    whole = written(_lines(again, classes).select("doc", "at", "print", "t").dropDuplicates(["doc", "at", "print"]), "line-wholes")
-    del by_doc, again
+    once = docs.withColumn("print", F.xxhash64("text")).dropDuplicates(["doc", "print"])  # the join needs them dealt like this anyway
+    again = once.join(by_doc, ["doc", "print"]).select("doc", "print", F.explode(F.expr("transform(ats, a -> struct(a as at, get(split(text, '\n'), a) as line))")).alias("l")).select("doc", "print", "l.at", "l.line")
+    whole = written(_lines(again, classes).select("doc", "at", "print", "t", *_bitmap()), "line-wholes")
+    signed = written(ranked.join(whole.drop("t"), ["doc", "at", "print"]), "line-signed")
+    discard(ranked)
+    ranked = signed
+    del by_doc, again, once
     release(spark)
 
     # look back over the first, the next 16, the next 256, ... until a similar set is found
@@ -102,12 +117,18 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     pairs = full = found = before = left = None
     most = ranked.agg(F.max("nth")).first()[0] or 0
     while low < most:
-        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", *[F.col(k).alias(g) for k, g in zip(key, other)], F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"))
+        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", *[F.col(k).alias(g) for k, g in zip(key, other)], F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"), *[F.col(f"s{k}").alias(f"r{k}") for k in range(BITMAPS)])
         overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
         long_enough = (F.col("m") >= _need(F.col("n"))) & (F.col("n") >= _need(F.col("m")))
         in_place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= overlap  # holds at the first shared token
-        pairs = written(todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place).select(*key, *other).distinct(), "line-pairs")
-        full = pairs.join(whole, key).join(whole.select(*[F.col(k).alias(g) for k, g in zip(key, other)], F.col("t").alias("u")), other)
+        apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"r{k}"))) for k in range(1, BITMAPS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))))
+        few_apart = apart <= F.col("n") + F.col("m") - 2 * overlap  # each differing token turns one bit at most
+        pairs = written(todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place & few_apart).select(*key, *other).distinct(), "line-pairs")
+        n_pairs = pairs.count()
+        small = F.broadcast if n_pairs <= BROADCAST_PAIRS else (lambda df: df)  # a checked size of 48 bytes a pair
+        left_side = whole.select(*key, "t").join(small(pairs), key)
+        right_side = whole.select(*[F.col(k).alias(g) for k, g in zip(key, other)], F.col("t").alias("u")).join(small(pairs), other)
+        full = left_side.join(right_side, [*key, *other])
         same = F.size(F.array_intersect("t", "u"))
         alike = same >= F.lit(SIMILARITY) * (F.size("t") + F.size("u") - same) - F.lit(1e-9)
         found = written(full.where(alike).select(*key).distinct(), "line-matches")
