@@ -142,8 +142,9 @@ class AttentionMIL:
 
     def fit(self, x: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 2) -> None:
         """``doc`` ascends; ``label`` has a value for each document."""
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.mean = x.mean(axis=0, dtype=np.float64)
+        squares = sum(np.square(x[at : at + 4096], dtype=np.float64).sum(axis=0) for at in range(0, len(x), 4096))  # no second copy of x
+        self.scale = np.sqrt(np.maximum(squares / len(x) - self.mean**2, 0)) + 1e-3
         first, last = np.searchsorted(doc, np.arange(len(label))), np.searchsorted(doc, np.arange(len(label)), side="right")
         m, v, step, r = {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, 0, np.random.default_rng(seed)
         for epoch in range(epochs):
@@ -189,10 +190,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, text: str
     y = np.array([r.y for r in got], np.float64)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    x = [np.frombuffer(r.bag, "<f4").reshape(-1, DIM) for r in got]
-    del got
+    per = [len(r.bag) // (4 * DIM) for r in got]
+    x = np.empty((sum(per), DIM), np.float32)
+    at = 0
+    while got:  # each row is let go of as it is copied
+        r = got.pop()
+        n = len(r.bag) // (4 * DIM)
+        x[len(x) - at - n : len(x) - at] = np.frombuffer(r.bag, "<f4").reshape(-1, DIM)
+        at += n
     model = AttentionMIL()
-    model.fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), y)
+    model.fit(x, np.repeat(np.arange(len(per)), per), y)
     return model
 
 
