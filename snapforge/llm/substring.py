@@ -302,10 +302,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_w
     spark = docs.sparkSession
     rows = docs.select(_key(doc_id).alias("doc"), F.col(text).alias("text"))
     found = written(_anchor_rows(rows), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where("n > 1")
+    # written, so that both sides of the join come straight from a shuffle and a hot anchor's side can be split
+    shared = written(found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where("n > 1"), "shared-anchors")
+    release(spark)
     hits = written(found.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "owner", "n")).alias("hits")), "anchor-hits")
-    del shared
     discard(found)
+    discard(shared)
     release(spark)
     segments = _segments(rows.select("doc", F.xxhash64("text").alias("print"), "text").join(hits, "doc"), hot)
     dealt = segments.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "doc", "print", "start")
