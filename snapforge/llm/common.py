@@ -152,19 +152,21 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """(node, root) of every node in ``edges`` (a, b: longs), root being the smallest node of its component.
 
     Alternating large-star and small-star steps. Each round is written to the shared folder, so lineage stays short;
-    the driver sees two numbers a round. A node with very many neighbours is a hot join key only on the side that
-    adaptive execution splits: the other side has a row per node.
+    the driver sees two numbers a round. A node with very many neighbours is a hot join key on the side of the edges only;
+    the other side, a row for each node, is written first, so that both come straight from a shuffle and adaptive
+    execution can split the hot one.
     """
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+        m = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        large = written(both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        small_min = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(small_min, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
         new = written(small, name)
-        discard(e)
+        for done in (e, m, large, small_min):
+            discard(done)
         e = new
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
