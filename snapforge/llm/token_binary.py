@@ -72,11 +72,15 @@ class LibraryEncoder:
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lens.sum()))
         return flat, lens
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
         plain = [is_plain(t) for t in texts]
+        if all(plain):
+            return self.memo.ids(texts)
         flat, lens = self.memo.ids([t for t, p in zip(texts, plain) if p])
         fast = iter(np.split(flat, np.cumsum(lens)[:-1])) if len(lens) else iter(())
-        return [next(fast) if p else self._encode([t])[0] for t, p in zip(texts, plain)]
+        every = [next(fast) if p else self._encode([t])[0] for t, p in zip(texts, plain)]
+        return np.concatenate(every), np.fromiter(map(len, every), np.int64, len(every))
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -112,13 +116,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_
 
     def run(batches):
         lib = library(vocabulary)
-        end = np.array([end_id], np.uint32)
         for whole in batches:
             for b in chunks(whole, "text"):
-                parts = [x for ids in lib.ids([t or "" for t in b.column("text").to_pylist()]) for x in (ids, end)]
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                sizes = sizes[0::2] + sizes[1::2]
-                records = simple8b.encode(np.concatenate(parts), sizes)
+                ids, lens = lib.ids([t or "" for t in b.column("text").to_pylist()])
+                sizes = lens.astype(np.int64) + 1
+                records = simple8b.encode(np.insert(ids, np.cumsum(lens, dtype=np.int64), end_id), sizes)
                 own = b.column("doc_id")
                 shard = np.searchsorted(edges, pc.fill_null(own, -(1 << 63)).to_numpy(), side="left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), own, pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=["shard", "doc_id", "n_tokens", "record"])
