@@ -96,14 +96,13 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def ranges(docs: DataFrame, doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[int]:
+def ranges(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[int]:
     """Upper ends of document ids (one fewer than files), by approximate quantiles, for files of about ``file_bytes``.
 
-    The number of files grows with the input (by Spark's estimate of its size, without reading texts); the driver holds
-    one number for each.
+    The number of files grows with the texts' bytes, which are counted (estimates of the plan's size can be far off); the
+    driver holds one number for each.
     """
-    n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // file_bytes
-    n = min(n, 1 << 20)
+    n = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) * 3 // 4 // file_bytes
     if n < 1:
         return []
     got = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / (n + 1) for i in range(1, n + 1)], max(10_000, 20 * n))).first()[0]
