@@ -326,6 +326,13 @@ def bijection(spark, sf_dir):
     return match.bijection(e.select(F.format_string("t%03d", F.col("t").cast("long")).alias("target_path"), F.format_string("s%03d", F.col("s").cast("long")).alias("source_path"), "score"))
 
 
+@query()
+def bijection_whole(spark, sf_dir):
+    """As ``bijection``, over the edges of all lines between whole keys; lists in recursive SQL are too slow for that."""
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as t", "l_partkey as s", "(l_orderkey * 31 + l_partkey * 17) % 97 / cast(97 as double) as score").distinct()
+    return match.bijection(e.select(F.format_string("t%012d", F.col("t").cast("long")).alias("target_path"), F.format_string("s%012d", F.col("s").cast("long")).alias("source_path"), "score"))
+
+
 _PAGES = f"""WITH paths AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, min(page_id) AS page_id FROM pages GROUP BY 1),
 removed AS (SELECT 0 AS partition_no, path AS source_path, '' AS sha256 FROM paths WHERE page_id % 2 = 0), added AS (SELECT 0 AS partition_no, path AS target_path, '' AS sha256 FROM paths WHERE page_id % 2 = 1),
 sk AS (SELECT partition_no, sha256 AS s_sha, {_keys('s', 'source_path')} FROM removed), tk AS (SELECT partition_no, sha256 AS t_sha, {_keys('t', 'target_path')} FROM added)"""

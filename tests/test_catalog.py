@@ -44,3 +44,15 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bijection_over_all_lines_is_the_sequential_assignment(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
+    edges = sorted((-((o * 31 + p * 17) % 97 / 97.0), f"t{o:012d}", f"s{p:012d}") for o, p in rows)
+    used, want = set(), set()
+    for w, t, s in edges:
+        if t not in used and s not in used:
+            used |= {t, s}
+            want.add((t, s, round(-w, 9)))
+    got = catalog.QUERIES["bijection_whole"](spark, SF).collect()
+    assert {(r.target_path, r.source_path, round(r.score, 9)) for r in got} == want and len(got) == len(want)
