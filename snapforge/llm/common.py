@@ -172,6 +172,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     return out

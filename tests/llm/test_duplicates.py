@@ -18,6 +18,11 @@ def test_components_over_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and 200 not in got
 
 
+def test_unfinished_components_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=2)
+
+
 # SimHash
 
 
