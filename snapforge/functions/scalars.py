@@ -28,10 +28,6 @@ def components(path) -> Column:
     return F.filter(F.split(_c(path), "/"), lambda p: p != "")
 
 
-def normalise(path) -> Column:
-    return F.replace(_c(path), F.lit("\\"), F.lit("/"))
-
-
 def header(content) -> Column:
     return F.substring(_c(content).cast("binary"), 1, 16)
 
@@ -65,9 +61,11 @@ def minor(rdev) -> Column:
     return r.bitwiseAND(0xFF).bitwiseOR(F.shiftright(r, 12).bitwiseAND(~0xFF))
 
 
-def entry_kind(mode) -> Column:
-    bits = type_bits(mode)
-    return F.when(bits == 0o100000, "file").when(bits == 0o120000, "symlink").when(bits == 0o040000, "directory").otherwise("special")
+def device(major_, minor_) -> Column:
+    """The device number with these parts, the inverse of major() and minor()."""
+    a, b = _c(major_).cast("long"), _c(minor_).cast("long")
+    low = F.shiftleft(a.bitwiseAND(0xFFF), 8).bitwiseOR(b.bitwiseAND(0xFF))
+    return low.bitwiseOR(F.shiftleft(a.bitwiseAND(~0xFFF), 32)).bitwiseOR(F.shiftleft(b.bitwiseAND(~0xFF), 12))
 
 
 def human_bytes(n) -> Column:

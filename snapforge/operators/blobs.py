@@ -50,16 +50,22 @@ def collectable(references: DataFrame, image_id: str) -> DataFrame:
     return own.join(others, "blob_id", "left").select("blob_id", F.when(F.col("used"), "kept").otherwise("deleted").alias("fate"))
 
 
-def lineage(images: DataFrame, rounds: int = 64) -> DataFrame:
+def lineage(images: DataFrame) -> DataFrame:
     """(image_id, ancestor, distance): each image with all its bases. Distances double each round, so chains of 2 ** n
-    images take n rounds; cycles end at the same bound and give no row of an image with itself twice."""
-    from snapforge.plans.staging import staged
+    images take n rounds; rounds end when one adds nothing, which it must, as there are only so many pairs of images. On a
+    cycle of bases each of its images is its own ancestor once."""
+    from snapforge.plans.staging import dropped, staged
 
     known = staged(images.where("base_image_id is not null").select("image_id", F.col("base_image_id").alias("ancestor"), F.lit(1).alias("distance")))
-    for _ in range(rounds):
+    n, before = known.count(), -1
+    while n > before:
         further = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.image_id")).select("a.image_id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
         new = staged(known.unionByName(further).groupBy("image_id", "ancestor").agg(F.min("distance").alias("distance")))
-        if new.count() == known.count():
-            break
-        known = new
+        dropped(known)
+        known, before, n = new, n, new.count()
     return known
+
+
+def unreferenced(blobs: DataFrame, references: DataFrame) -> DataFrame:
+    """The blobs that no record of any image refers to."""
+    return blobs.join(references.where("blob_id is not null").select("blob_id").distinct(), "blob_id", "left_anti")

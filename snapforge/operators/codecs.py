@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from snapforge.functions import textdiff, vcdiff
 from snapforge.operators.routing import BINARY, EXTENDED, PASSTHROUGH, TEXT
+from snapforge.plans.staging import ship
 
 Codec = tuple[Callable[[bytes, bytes], bytes], Callable[[bytes, bytes], bytes]]
 BUILT_IN: dict[int, Codec] = {
@@ -32,6 +33,7 @@ def encoded(source: str, target: str, code: str, codec_id: str | None = None, th
     """A struct (patch, code, patch_sha256, codec_fallback): a patch larger than size times threshold is the target itself,
     as code 0. Where a codec can't take the content, so it is too, with codec_fallback (an error if strict)."""
     extended = extended or {}
+    ship(SparkSession.active())
 
     @F.pandas_udf(_OUT)
     def run(s: pd.Series, t: pd.Series, c: pd.Series, i: pd.Series) -> pd.DataFrame:
@@ -55,6 +57,7 @@ def encoded(source: str, target: str, code: str, codec_id: str | None = None, th
 def decoded(source: str, patch: str, code: str, codec_id: str | None = None, extended: dict | None = None) -> Column:
     """The target's bytes."""
     extended = extended or {}
+    ship(SparkSession.active())
 
     @F.pandas_udf("binary")
     def run(s: pd.Series, p: pd.Series, c: pd.Series, i: pd.Series) -> pd.Series:

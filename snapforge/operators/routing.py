@@ -147,7 +147,3 @@ class Router:
 
         with open(path, "rb") as f:
             return Router.from_config(tomllib.load(f).get("compressor", {}))
-
-
-def with_header(files):
-    return files.withColumn("header", header("content"))
