@@ -1,9 +1,10 @@
 """Command line: python -m snapforge VERB ...
 
     compress --store DIR --image-id ID --image TREE [--base-image TREE --base-image-id ID] [--config TOML] [--overwrite]
-    decompress --store DIR --image-id ID --output TREE [--base-image TREE] [--config TOML]
+    decompress --store DIR --image-id ID --output TREE [--base-image TREE] [--config TOML] [--overwrite]
     inspect --store DIR --image-id ID [--files]        diff --store DIR ID OTHER
     list --store DIR        status --store DIR ID        delete --store DIR ID [--dry-run]        walk BASE TARGET
+    sweep --store DIR (blobs that no image refers to go)
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ def _parser() -> argparse.ArgumentParser:
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, options in {
         "compress": ("--store", "--image-id", "--image", "--base-image?", "--base-image-id?", "--config?", "--overwrite!"),
-        "decompress": ("--store", "--image-id", "--output", "--base-image?", "--config?"),
+        "decompress": ("--store", "--image-id", "--output", "--base-image?", "--config?", "--overwrite!"),
         "inspect": ("--store", "--image-id", "--files!"),
         "diff": ("--store", "one", "other"),
         "list": ("--store",),
         "status": ("--store", "one"),
         "delete": ("--store", "one", "--dry-run!"),
         "walk": ("base", "target"),
+        "sweep": ("--store",),
     }.items():
         v = verbs.add_parser(verb)
         for o in options:
@@ -64,7 +66,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> list[str]:
         return [json.dumps(engine.compress(store, a.image_id, read_tree(spark, a.image, a.image_id), base, a.base_image_id, router, a.overwrite))]
     if a.verb == "decompress":
         base = read_tree(spark, a.base_image, "base") if a.base_image else None
-        write_tree(engine.decompress(store, a.image_id, base, router), a.output)
+        write_tree(engine.decompress(store, a.image_id, base, router), a.output, a.overwrite)
         return [a.output]
     if a.verb == "inspect":
         recs = store.read("records", a.image_id)
@@ -82,6 +84,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> list[str]:
     if a.verb == "status":
         found = engine.status(store, a.one)
         return [f"{found[0]}{f': {found[1]}' if found[1] else ''}" if found else "unknown"]
+    if a.verb == "sweep":
+        return [json.dumps({"blobs_deleted": engine.sweep(store)})]
     return [json.dumps(engine.delete_image(store, a.one, a.dry_run))]
 
 

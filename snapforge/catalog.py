@@ -273,6 +273,13 @@ def candidate_topk(spark, sf_dir):
     return match.capped(match.blocks(removed, added, ["partition_no"]), ["partition_no"], 5).select("partition_no", "target_path", "source_path")
 
 
+@query(SQL["candidate_topk"].replace("WHERE n <= 5", f"WHERE n <= {match.MOST_CANDIDATES}"))
+def candidate_topk_whole(spark, sf_dir):
+    """As ``candidate_topk``, at the engine's own bound."""
+    removed, added = _pools(spark, sf_dir)
+    return match.capped(match.blocks(removed, added, ["partition_no"]), ["partition_no"]).select("partition_no", "target_path", "source_path")
+
+
 @query(_recursive(f"{_POOLS}, k AS ({_ALL_PAIRS}), want AS (SELECT target_path AS u, source_path AS v, 0.3::DOUBLE AS w FROM k), {_levenshtein()} SELECT u AS target_path, v AS source_path, round(dist, 9) AS distance FROM d"))
 def levenshtein_weighted(spark, sf_dir):
     from snapforge.functions.similarity import weighted_levenshtein
@@ -363,6 +370,19 @@ def blob_lookup(spark, sf_dir):
     return out.where("source_blob_id is not null").select("partition_no", "new_path", "data_kind", "patch_kind", "source_blob_id")
 
 
+#: The SQL of the next query, too slow on whole tables; tests run it on the smallest.
+BLOB_LOOKUP_WHOLE = SQL["blob_lookup"].replace(" FROM b WHERE doc_id % 4 = 0)", " FROM b)")
+
+
+@query()
+def blob_lookup_whole(spark, sf_dir):
+    """As ``blob_lookup``, with every file of the base as an origin."""
+    b, t = _both(spark, sf_dir)
+    origins = b.select("partition_no", F.regexp_replace("path", "-1.0.", "-0.9.").alias("path"), F.col("doc_id").alias("ordinal"), F.concat(F.lit("blob-"), F.col("doc_id").cast("string")).alias("blob_id"))
+    out = rename.blob_lookup(diff.records(b, t), origins)
+    return out.where("source_blob_id is not null").select("partition_no", "new_path", "data_kind", "patch_kind", "source_blob_id")
+
+
 # Records on their way to a manifest
 
 _RECORD_COLUMNS = ["partition_no", "old_path", "new_path", "entry_type", "size", "data_kind", "link_to", "file_type_bits", "major", "minor", "patch_kind", "mode", "uid", "gid", "mtime"]
@@ -498,6 +518,27 @@ def reconstruct_target(spark, sf_dir):
     return reconstruct.rebuilt(b, r, contents).select("partition_no", "path", "entry_type", "mode", "uid", "gid", "mtime", "size", "sha256", "link_target", "rdev")
 
 
+_LINKED_SQL = "(SELECT * REPLACE (CASE WHEN entry_type = 'file' AND nlink > 1 THEN sha256('linked ' || ino) ELSE sha256 END AS sha256, CASE WHEN entry_type = 'file' AND nlink > 1 THEN strlen('linked ' || ino) ELSE size END AS size, CASE WHEN entry_type = 'special' THEN rdev + doc_id % 9 * 1048576 ELSE rdev END AS rdev) FROM ({side}) y)"
+
+
+def _linked(spark, sf_dir):
+    """Both snapshots with files that share an inode sharing their content too, and devices whose minors pass 255."""
+    shared = (F.col("entry_type") == "file") & (F.col("nlink") > 1)
+    text = F.concat(F.lit("linked "), F.col("ino").cast("string"))
+    change = {"sha256": F.when(shared, F.sha2(text, 256)).otherwise(F.col("sha256")), "size": F.when(shared, F.octet_length(text)).otherwise(F.col("size")).cast("long"), "rdev": F.when(F.col("entry_type") == "special", F.col("rdev") + F.col("doc_id") % 9 * 1048576).otherwise(F.col("rdev"))}
+    return [s.withColumns(change) for s in _both(spark, sf_dir, True)]
+
+
+@query(f"""WITH t AS {_LINKED_SQL.format(side=rich_sql('duckdb', 'target'))}, b AS {_LINKED_SQL.format(side=rich_sql('duckdb', 'base'))}
+SELECT t.partition_no, t.path, t.entry_type, t.mode, t.uid, t.gid, CASE WHEN abs(t.mtime - b.mtime) <= 1 AND t.entry_type = b.entry_type AND NOT (t.entry_type = 'special' AND b.rdev <> t.rdev) THEN b.mtime ELSE t.mtime END AS mtime, t.size, t.sha256, t.rdev FROM t LEFT JOIN b ON t.partition_no = b.partition_no AND t.path = b.path""")
+def reconstruct_links(spark, sf_dir):
+    """The target with its hard links, many of them new links to files that the records do not touch, and large devices."""
+    b, t = _linked(spark, sf_dir)
+    r = diff.records(b, t)
+    contents = t.select("partition_no", "path", "sha256", "size").join(r.where("data_kind = 'lazy_blob' or patch_kind = 'lazy'").select("partition_no", F.col("new_path").alias("path")), ["partition_no", "path"], "left_semi")
+    return reconstruct.rebuilt(b, r, contents).select("partition_no", "path", "entry_type", "mode", "uid", "gid", "mtime", "size", "sha256", "rdev")
+
+
 @query("SELECT 0::BIGINT AS problems")
 def reconstruct_verify(spark, sf_dir):
     b, t, r, contents = _applied(spark, sf_dir)
@@ -592,6 +633,13 @@ def gc_blobs(spark, sf_dir):
     return blobs.collectable(_references(spark, sf_dir), "img1")
 
 
+@query(f"WITH {_REFS} SELECT blob_id FROM f GROUP BY blob_id HAVING count_if(image_id <> 'img1') = 0")
+def gc_sweep(spark, sf_dir):
+    """The blobs that go once one image is gone: those that no record of the others refers to."""
+    refs = _references(spark, sf_dir)
+    return blobs.unreferenced(refs.select("blob_id").distinct(), refs.where("image_id <> 'img1'"))
+
+
 @query(f"WITH {_REFS} SELECT DISTINCT blob_id FROM f WHERE image_id = 'img2'")
 def blob_fetch_set(spark, sf_dir):
     refs = _references(spark, sf_dir)

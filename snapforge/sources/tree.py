@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import stat
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from snapforge.sources.snapshots import SCHEMA
@@ -101,39 +103,87 @@ def read_tree(spark: SparkSession, path: str, image_id: str = "image", partition
     return spark.read.format("snapforge_tree").options(path=path, image_id=image_id, partition_no=str(partition_no), hashes=str(hashes), content=str(content)).load()
 
 
-def write_tree(entries: DataFrame, root: str) -> None:
-    """Rebuilds a tree on a file system that the executors share: folders first, then files and links. Owners and devices
-    need privileges and are skipped without them; times and modes are set, folders' last."""
-    os.makedirs(root, exist_ok=True)
+def _links(entries: DataFrame) -> DataFrame:
+    """(path, to): files that are hard links to another path of the tree: those that say so, and those that share their
+    inode, content and metadata with an earlier one."""
+    files = entries.where("entry_type = 'file'")
+    said = files.where("link_target is not null").select("path", F.col("link_target").alias("to"))
+    same = ["partition_no", "dev", "ino", "sha256", "mode", "uid", "gid", "mtime"]
+    linked = files.where("link_target is null and nlink > 1 and ino <> 0 and sha256 is not null")
+    first = linked.groupBy(*same).agg(F.min("path").alias("to"), F.count("*").alias("n")).where("n > 1")
+    return said.unionByName(linked.join(first, same).where("path <> to").select("path", "to"))
+
+
+def write_tree(entries: DataFrame, root: str, replace: bool = False) -> None:
+    """Rebuilds a tree on a file system that the executors share, beside ``root``, and then moves it there.
+
+    Folders come first, then files, hard links, devices and symlinks, so nothing is written through a link; modes and times
+    of folders come last. Owners and devices need privileges and are skipped without them. Paths that lead out of the tree
+    are refused before anything is written. An output that exists is an error, or replaced as a whole.
+    """
+    root = root.rstrip("/")
+    if os.path.lexists(root) and not replace:
+        raise FileExistsError(root)
+    bad = entries.where(F.col("path").rlike(r"^/|(^|/)\.\.(/|$)|^$|\x00")).select("path").take(1)
+    if bad:
+        raise ValueError(f"the path {bad[0].path!r} leads out of the tree")
+    made = f"{root}.{uuid.uuid4().hex}.partial"
+    os.makedirs(made)
+
+    def place(r) -> str:
+        full = os.path.join(made, r.path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        if os.path.lexists(full):  # a task that runs again
+            os.unlink(full)
+        return full
+
+    def meta(full, r):
+        if r.uid is not None and os.geteuid() == 0:
+            os.lchown(full, r.uid, r.gid)
+        if r.entry_type != "symlink":
+            os.chmod(full, r.mode & 0o7777)
+            os.utime(full, (r.mtime, r.mtime))
 
     def folders(rows):
         for r in rows:
-            os.makedirs(os.path.join(root, r.path), exist_ok=True)
+            os.makedirs(os.path.join(made, r.path), exist_ok=True)
 
-    def rest(rows):
+    def files(rows):
         for r in rows:
-            full = os.path.join(root, r.path)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            if os.path.lexists(full):
-                os.unlink(full)
-            if r.entry_type == "symlink":
-                os.symlink(r.link_target, full)
-            elif r.entry_type == "file":
-                with open(full, "wb") as f:
-                    f.write(r.content or b"")
-                _meta(full, r)
-
-    def _meta(full, r):
-        if r.uid is not None and os.geteuid() == 0:
-            os.lchown(full, r.uid, r.gid)
-        os.chmod(full, r.mode & 0o7777)
-        os.utime(full, (r.mtime, r.mtime))
+            full = place(r)
+            with open(full, "wb") as f:
+                f.write(r.content or b"")
+            meta(full, r)
+
+    def hard(rows):
+        for r in rows:
+            os.link(os.path.join(made, r.to), place(r))
+
+    def devices(rows):
+        for r in rows:
+            if os.geteuid() == 0:
+                full = place(r)
+                os.mknod(full, r.mode, r.rdev)
+                meta(full, r)
+
+    def soft(rows):
+        for r in rows:
+            full = place(r)
+            os.symlink(r.link_target, full)
+            meta(full, r)
 
     def finish(rows):
         for r in sorted(rows, key=lambda r: -r.path.count("/")):
-            _meta(os.path.join(root, r.path), r)
+            meta(os.path.join(made, r.path), r)
 
     directories = entries.where("entry_type = 'directory'").drop("content")
+    links = _links(entries)
     directories.foreachPartition(folders)
-    entries.where("entry_type in ('file', 'symlink')").foreachPartition(rest)
+    entries.where("entry_type = 'file'").join(links.select("path"), "path", "left_anti").foreachPartition(files)
+    links.foreachPartition(hard)
+    entries.where("entry_type = 'special'").drop("content").foreachPartition(devices)
+    entries.where("entry_type = 'symlink'").drop("content").foreachPartition(soft)
     directories.foreachPartition(finish)
+    if os.path.lexists(root):
+        (os.unlink if os.path.islink(root) or not os.path.isdir(root) else shutil.rmtree)(root)
+    os.rename(made, root)

@@ -34,6 +34,13 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert sorted(repr(tuple(map(plain, r))) for r in got) == sorted(repr(tuple(map(plain, r))) for r in want)
 
 
+def test_blob_lookup_over_all_origins_gives_the_rows_of_its_sql(spark, duck):
+    cur = duck.execute(catalog.BLOB_LOOKUP_WHOLE)
+    cols, want = [c[0] for c in cur.description], cur.fetchall()
+    got = catalog.QUERIES["blob_lookup_whole"](spark, SF).select(*cols).collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got) and len(got) > 10
+
+
 def test_expected_counts_of_matching(spark):
     """23 renames by content and 19 by name on this table."""
     got = catalog.QUERIES["rename_fuzzy"](spark, SF).groupBy("pass").count().collect()

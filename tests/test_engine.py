@@ -196,6 +196,66 @@ def test_chain_of_images_comes_back(spark, snap, tmp_path):
     assert same(v1, engine.decompress(store, "v1", v0, ROUTER)) == []
 
 
+def contents(df):
+    return {r.path: bytes(r.content) for r in df.where("entry_type = 'file'").collect()}
+
+
+def test_overwriting_an_image_leaves_shared_content(spark, snap, tmp_path):
+    store = engine.FolderStore(spark, f"file://{tmp_path}/store")
+    engine.compress(store, "a", snap(entry("f", "shared"), entry("only", "of a")))
+    engine.compress(store, "b", snap(entry("g", "shared")))
+    engine.compress(store, "a", snap(entry("f", "new")), overwrite=True)
+    assert contents(engine.decompress(store, "b")) == {"g": b"shared"}
+    assert contents(engine.decompress(store, "a")) == {"f": b"new"}
+    assert engine.sweep(store) == 1 and store.blobs().count() == 2
+    assert contents(engine.decompress(store, "b")) == {"g": b"shared"}
+
+
+def test_delete_make_again_delete(spark, snap, tmp_path):
+    store = engine.FolderStore(spark, f"file://{tmp_path}/store")
+    a, b = snap(entry("f", "shared"), entry("x", "own")), snap(entry("g", "shared"))
+    engine.compress(store, "a", a)
+    engine.compress(store, "b", b)
+    for _ in range(2):
+        assert engine.delete_image(store, "a") == {"blobs_deleted": 1, "blobs_kept": 1}
+        assert contents(engine.decompress(store, "b")) == {"g": b"shared"}
+        engine.compress(store, "a", a)
+    assert engine.delete_image(store, "b") == {"blobs_deleted": 0, "blobs_kept": 1}
+    assert contents(engine.decompress(store, "a")) == {"f": b"shared", "x": b"own"}
+    assert store.blobs().count() == 2
+
+
+def test_missing_content_is_an_error(spark, snap, tmp_path):
+    store = engine.FolderStore(spark, f"file://{tmp_path}/store")
+    v0, v1 = snap(entry("f", "line\n" * 50)), snap(entry("f", "line\n" * 50 + "end", mtime=5000), entry("n", "new"))
+    engine.compress(store, "v0", v0)
+    engine.compress(store, "v1", v1, v0, "v0")
+    assert contents(engine.decompress(store, "v1", v0)) == contents(v1)
+    with pytest.raises(Exception, match="source of a patch is missing"):
+        engine.decompress(store, "v1")
+    with pytest.raises(Exception, match="not what its hash says|ValueError"):
+        engine.decompress(store, "v1", snap(entry("f", "line\n" * 49 + "line?")))
+    store.remove_blobs(store.blobs().where("size = 3").select("blob_id"))
+    with pytest.raises(Exception, match="content of a file is missing"):
+        engine.decompress(store, "v1", v0)
+
+
+def test_links_to_files_that_do_not_change(spark, snap, tmp_path):
+    """A new link to an unchanged file, to one whose metadata changes, and to one that is renamed; a large device."""
+    base = snap(entry("a", "one", ino=1), entry("b", "two", ino=2), entry("c-1.0.so", "three" * 20, ino=3))
+    target = snap(entry("a", "one", ino=1, nlink=2), entry("z", "one", ino=1, nlink=2), entry("b", "two", ino=2, nlink=2, uid=7), entry("y", "two", ino=2, nlink=2, uid=7),
+                  entry("c-1.1.so", "three" * 20, ino=3, nlink=2), entry("x", "three" * 20, ino=3, nlink=2), entry("dev", kind="special", rdev=259 << 8 | 300 & 0xFF | (300 & ~0xFF) << 12))
+    store = engine.FolderStore(spark, f"file://{tmp_path}/store")
+    engine.compress(store, "v0", base)
+    engine.compress(store, "v1", target, base, "v0")
+    back = engine.decompress(store, "v1", base)
+    assert same(target, back) == [] and contents(back) == contents(target)
+    assert {r.path: r.rdev for r in back.collect()}["dev"] == os.makedev(259, 300)
+    write_tree(back, str(tmp_path / "out"))
+    ino = lambda p: os.stat(tmp_path / "out" / p).st_ino
+    assert ino("a") == ino("z") and ino("b") == ino("y") and ino("c-1.1.so") == ino("x") and ino("a") != ino("b")
+
+
 def test_failed_image_may_be_made_again(spark, snap, tmp_path):
     store = engine.FolderStore(spark, f"file://{tmp_path}/store")
     with pytest.raises(Exception):
@@ -234,3 +294,33 @@ def test_tree_source_and_writer(spark, tmp_path):
     assert light.where("sha256 is not null or content is not null").count() == 0
     with pytest.raises(Exception):
         read_tree(spark, str(tmp_path / "none")).count()
+
+
+@pytest.mark.parametrize("path", ["../out", "/etc/x", "a/../../b", "a/..", ""])
+def test_paths_out_of_the_tree_are_refused(snap, tmp_path, path):
+    with pytest.raises(ValueError):
+        write_tree(snap(entry("fine", "x"), entry(path, "x")), str(tmp_path / "t" / "out"))
+    assert not (tmp_path / "t").exists()
+
+
+def test_writer_replaces_whole_trees_and_makes_links_and_devices(spark, snap, tmp_path):
+    out = tmp_path / "out"
+    (out / "old").mkdir(parents=True)
+    rows = snap(entry("a", "x", ino=9, nlink=2), entry("d/b", "x", ino=9, nlink=2), entry("l", kind="symlink", link="../.."), entry("pipe", kind="special", mode=0o010644))
+    with pytest.raises(FileExistsError):
+        write_tree(rows, str(out))
+    write_tree(rows, str(out), replace=True)
+    assert sorted(os.listdir(out)) == (["a", "d", "l", "pipe"] if os.geteuid() == 0 else ["a", "d", "l"])
+    assert os.stat(out / "a").st_ino == os.stat(out / "d/b").st_ino and os.readlink(out / "l") == "../.."
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+
+
+def test_numbers_go_on_over_ranges(spark, snap):
+    rows = snap(*[entry(f"p{i:03d}", "x", part=1 + i % 2) for i in range(60)])
+    recs = diff.records(rows.limit(0), rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = manifest.numbered(recs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.partition_no, r.ordinal, r.new_path) for r in got) == [(p, n, f"p{2 * n + p - 1:03d}") for p in (1, 2) for n in range(30)]
