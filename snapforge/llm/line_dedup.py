@@ -9,10 +9,10 @@ Tokens are 64-bit numbers whose leading bits are the rarity class of the shingle
 over all texts in ``2 ** BUCKET_BITS`` counters, so plain order is rarest first. Lines with equal token sets are one set. Similar
 sets share one of their first n - ceil(0.8 n) + 1 tokens (prefix filter); tokens that a single set has are dropped at once.
 The sets that share a token stand in order of their first line, and each is compared with those before it: first with the
-first, then with the next 16, the next 256 and so on, until it is known as similar, so that a group of near copies
+first, then with the next WIDER, the next WIDER squared and so on, until it is known as similar, so that a group of near copies
 costs about a comparison each and never all pairs. Candidates must pass the length and positional filters (the latter holds
-at the first token that two similar sets share) and a bound on differing tokens from 256-bit bitmaps, before the whole
-token sets, read again from the lines in question alone, are compared.
+at the first token that two similar sets share) and a bound on differing tokens from 256-bit bitmaps, before whole token sets
+are compared. Whole sets are made again for the lines that share a token, from the texts, and kept for no others.
 
 Nulls: a null text stays null and has no lines; a null id comes before all others, and ids are compared as longs. Rows of
 one id with different texts are separate: lines in the same place come in the order of their text's hash, and equal rows
@@ -23,13 +23,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from snapforge.llm.common import discard, release, written
+from snapforge.llm.common import discard, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Counters of words, as a power of two.
 BUCKET_BITS = 14
 #: Words of 64 bits of a set's bitmap.
 BITMAPS = 4
+#: How much more each look back covers than the one before.
+WIDER = 16
 #: Pairs that may be broadcast; more of them are joined by shuffles.
 BROADCAST_PAIRS = 50_000
 _SPACE = "\t\n\u000b\u000c\r"
@@ -50,14 +52,14 @@ def _bucket(word_hash: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A constant array: the class (bits of the count) of each bucket of words, counted over all texts. The driver holds
-    one small number for each bucket, whatever the input's size."""
+    """A constant array: the class (bits of the count) of each bucket of words, counted over all texts, as the leading bits
+    of a token. The driver holds one number for each bucket, whatever the input's size."""
     words = docs.select(F.explode(F.split(_spaced(F.col("text")), " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     classes = [0] * (1 << BUCKET_BITS)
     for b, n in counts.collect():
-        classes[b] = n.bit_length()
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")  # folded into one literal
+        classes[b] = n.bit_length() << 57
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # folded into one literal
 
 
 def _need(n: Column) -> Column:
@@ -65,94 +67,93 @@ def _need(n: Column) -> Column:
 
 
 def _lines(rows: DataFrame, classes: Column) -> DataFrame:
-    """rows (doc, print, line number `at`, line) -> the same with ascending distinct tokens t, and two hashes of the set."""
+    """rows (doc, print, line number `at`, line) -> the same with ascending distinct tokens t, for lines with words."""
     def token(first: Column, i: Column) -> Column:
-        rarity = F.get(classes, _bucket(first)).cast("long")
-        return F.shiftleft(rarity, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(first, *[F.get("h", i + k) for k in range(1, SHINGLE)]), 7))
+        return F.get(classes, _bucket(first)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(first, *[F.get("h", i + k) for k in range(1, SHINGLE)]), 7))
 
-    out = rows.withColumn("w", _words(F.col("line"))).where("size(w) > 0").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    worded = F.col("line").rlike(r"[^ \t-\r]")  # not by the words' number: that filter would split lines once more
+    out = rows.where(worded).withColumn("h", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     out = out.withColumn("t", F.sort_array(F.array_distinct(F.transform(F.slice("h", 1, F.greatest(F.size("h") - (SHINGLE - 1), F.lit(1))), token))))
-    return out.select("doc", "print", "at", "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(17), "t").alias("h2"))
+    return out.select("doc", "print", "at", "t")
 
 
-def _bitmap() -> list[Column]:
-    """s0, s1, ...: each token of t turns one bit. Two sets differ in at least as many tokens as their bitmaps in bits."""
-    turn = "acc ^ shiftleft(1L, cast(x & 63 as int))"
-    return [F.expr(f"aggregate(t, 0L, (acc, x) -> if(pmod(shiftrightunsigned(x, 6), {BITMAPS}) = {k}, {turn}, acc))").alias(f"s{k}") for k in range(BITMAPS)]
+def _overlap() -> Column:
+    """The tokens that sets of n and m share at least if they are similar."""
+    return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, value: str, other: str, small) -> DataFrame:
+    """pairs with ``value`` of their line and, named ``other``, of the earlier one."""
+    key, g = ["doc", "at", "print"], ["g_doc", "g_at", "g_print"]
+    left = table.select(*key, value).join(small(pairs), key)
+    right = table.select(*[F.col(k).alias(x) for k, x in zip(key, g)], F.col(value).alias(other)).join(small(pairs.select(*key, *g)), g)
+    return left.join(right, [*key, *g])
 
 
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, print, at): the lines to remove; doc is the id (null: the least long), print a hash of the text, at from 0."""
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
     classes = _rarity(docs)
     split = docs.select("doc", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     n = F.size("t")
-    lines = written(_lines(split, classes).select("doc", "print", "at", "h1", "h2", n.alias("n"), F.slice("t", F.lit(1), (n - _need(n) + 1).cast("int")).alias("prefix")), "lines")
-    place = F.struct("doc", "at", "print")
+    lines = written(_lines(split, classes).select("doc", "print", "at", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(17), "t").alias("h2"), n.alias("n"), F.slice("t", F.lit(1), (n - _need(n) + 1).cast("int")).alias("prefix")), "lines")
+    place, key, g = F.struct("doc", "at", "print"), ["doc", "at", "print"], ["g_doc", "g_at", "g_print"]
 
     # prefix filter: the sets that share a token, in order of their first line
-    sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-sets")
     rows = sets.select("place.doc", "place.at", "place.print", "n", F.posexplode("prefix").alias("i", "token"))
     order = Window.partitionBy("token").orderBy("doc", "at", "print")
     ranked = rows.withColumn("nth", F.row_number().over(order)).withColumn("more", F.lead("n").over(order).isNotNull())
     ranked = written(ranked.where("nth > 1 or more").drop("more"), "line-tokens")
-    del sets, rows
-    release(spark)
 
-    # the whole token sets of the lines in question, from the texts
+    # the whole token sets of the lines in question; of equal rows one will do
     by_doc = ranked.groupBy("doc", "print").agg(F.collect_set("at").alias("ats"))
-    once = docs.withColumn("print", F.xxhash64("text")).dropDuplicates(["doc", "print"])  # the join needs them dealt like this anyway
-    again = once.join(by_doc, ["doc", "print"]).select("doc", "print", F.explode(F.expr("transform(ats, a -> struct(a as at, get(split(text, '\n'), a) as line))")).alias("l")).select("doc", "print", "l.at", "l.line")
-    whole = written(_lines(again, classes).select("doc", "at", "print", "t", *_bitmap()), "line-wholes")
-    signed = written(ranked.join(whole.drop("t"), ["doc", "at", "print"]), "line-signed")
+    copy = F.row_number().over(Window.partitionBy("doc", "print").orderBy("doc"))
+    once = docs.withColumn("print", F.xxhash64("text")).withColumn("copy", copy).where("copy = 1")
+    cut = F.expr("transform(array(split(text, '\n')), every -> transform(ats, a -> struct(a as at, get(every, a) as line)))[0]")  # split once, not for each line
+    asked = once.join(by_doc, ["doc", "print"]).select("doc", "print", F.explode(cut).alias("l")).select("doc", "print", "l.at", "l.line")
+    whole = written(_lines(asked, classes), "line-wholes")
+    # each token turns one bit, so two sets differ in at least as many tokens as their bitmaps in bits
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    turned = [F.bit_xor(F.when(F.expr(f"pmod(shiftrightunsigned(token, 6), {BITMAPS}) = {k}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(BITMAPS)]
+    bitmaps = whole.select(*key, F.explode("t").alias("token")).groupBy(*key).agg(*turned)
+    signed = written(ranked.join(bitmaps, key), "line-signed")
     discard(ranked)
     ranked = signed
-    del by_doc, again, once
-    release(spark)
 
-    # look back over the first, the next 16, the next 256, ... until a similar set is found
-    key, other = ["doc", "at", "print"], ["g_doc", "g_at", "g_print"]
+    # look back over the first, the next WIDER, the next WIDER squared, ... until a similar set is found
     matched, low, span, todo, tables = None, 1, 1, ranked, []
-    pairs = full = found = before = left = None
     most = ranked.agg(F.max("nth")).first()[0] or 0
     while low < most:
-        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", *[F.col(k).alias(g) for k, g in zip(key, other)], F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"), *[F.col(f"s{k}").alias(f"r{k}") for k in range(BITMAPS)])
-        overlap = F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
+        before = ranked.where((F.col("nth") >= low) & (F.col("nth") < low + span)).select("token", *[F.col(k).alias(x) for k, x in zip(key, g)], F.col("n").alias("m"), F.col("i").alias("j"), F.col("nth").alias("earlier"), *[F.col(f"s{k}").alias(f"r{k}") for k in range(BITMAPS)])
         long_enough = (F.col("m") >= _need(F.col("n"))) & (F.col("n") >= _need(F.col("m")))
-        in_place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= overlap  # holds at the first shared token
+        in_place = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _overlap()  # holds at the first shared token
         apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"r{k}"))) for k in range(1, BITMAPS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))))
-        few_apart = apart <= F.col("n") + F.col("m") - 2 * overlap  # each differing token turns one bit at most
-        pairs = written(todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place & few_apart).select(*key, *other).distinct(), "line-pairs")
-        n_pairs = pairs.count()
-        small = F.broadcast if n_pairs <= BROADCAST_PAIRS else (lambda df: df)  # a checked size of 48 bytes a pair
-        left_side = whole.select(*key, "t").join(small(pairs), key)
-        right_side = whole.select(*[F.col(k).alias(g) for k, g in zip(key, other)], F.col("t").alias("u")).join(small(pairs), other)
-        full = left_side.join(right_side, [*key, *other])
+        few_apart = apart <= F.col("n") + F.col("m") - 2 * _overlap()
+        met = todo.join(before, (todo["token"] == before["token"]) & (F.col("nth") > F.col("earlier")) & long_enough & in_place & few_apart)
+        pairs = written(met.select(*key, *g).distinct(), "line-pairs")
+        small = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)  # a checked size of 48 bytes a pair
         same = F.size(F.array_intersect("t", "u"))
         alike = same >= F.lit(SIMILARITY) * (F.size("t") + F.size("u") - same) - F.lit(1e-9)
-        found = written(full.where(alike).select(*key).distinct(), "line-matches")
+        found = written(_with_both(pairs, whole, "t", "u", small).where(alike).select(*key).distinct(), "line-matches")
         discard(pairs)
         tables.append(found)
         matched = found if matched is None else matched.unionByName(found)
-        low, span = low + span, 16 * span
+        low, span = low + span, WIDER * span
         if low >= most:
             break
         left = written(todo.where(F.col("nth") > low).join(found, key, "left_anti"), "line-left")
         tables.append(left)
         todo = left
         most = todo.agg(F.max("nth")).first()[0] or 0
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"))
-    if matched is None:
-        firsts = firsts.withColumn("similar", F.lit(False))
-    else:
-        firsts = firsts.join(matched.distinct().select(F.struct(*key).alias("place"), F.lit(True).alias("similar")), "place", "left")
-    judged = lines.select("doc", "print", "at", "h1", "h2").join(firsts, ["h1", "h2"])
-    out = written(judged.where(F.coalesce("similar", F.lit(False)) | (F.struct("doc", "at", "print") != F.col("place"))).select("doc", "print", "at"), "lines-removed")
-    del firsts, judged, matched, pairs, full, found, before, left
-    for used in (lines, ranked, whole, *tables):
+    # what goes: lines of a set that began before, and the first lines of sets that are similar to one before
+    again = lines.select(*key, "h1", "h2").join(sets.where("copies > 1").select("h1", "h2", "place"), ["h1", "h2"]).where(place != F.col("place"))
+    gone = again.select("doc", "print", "at")
+    if matched is not None:
+        gone = gone.unionByName(matched.select("doc", "print", "at")).distinct()
+    out = written(gone, "lines-removed")
+    for used in (lines, sets, ranked, whole, *tables):
         discard(used)
-    release(spark)
     return out
 
 
