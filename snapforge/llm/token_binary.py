@@ -1,7 +1,7 @@
 """Token ids in Simple-8b files, in the order of document ids.
 
-Texts are encoded where they are read, each document packed at once (see simple8b); what is dealt by ranges of the
-document id is the packed form, about a third of the text's size. Each range becomes one file in the shared folder:
+Documents are dealt by ranges of their id, which Spark finds from a sample of ids; each range is one partition, sorted,
+encoded and packed (see simple8b) as it is written to one file in the shared folder:
 
     magic "S8F1"
     per document: i64 document id, u8 1 (0: the id was null), then its Simple-8b record
@@ -11,10 +11,11 @@ document's ids begin in the whole sequence comes from the counts of the files be
 documents before it in its file. Readers stream a file document by document.
 
 The library encodes each distinct piece of a text once while the memo holds it; texts with code points on which two
-engines' tables may differ are handed to the library whole.
+engines' tables may differ, or with the string of an added token (which the library turns into that token's id), are
+handed to the library whole.
 
 Nulls: a null text is the empty text (the end id alone). A null document id sorts first and stays null. Documents with
-equal ids are separate, in the order of their packed bytes. Empty tables give no file and an empty result. Other columns
+equal ids are separate, in the order of their texts' hashes; many documents with one id are dealt by these hashes too. Empty tables give no file and an empty result. Other columns
 are not read.
 """
 
@@ -29,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from snapforge.llm import simple8b
-from snapforge.llm.common import arrow_map, chunks, scratch_path, written
+from snapforge.llm.common import arrow_map, chunks, qualified, scratch_path, written
 from snapforge.llm.pieces import _PLAIN, PieceMemo, is_plain
 
 MAGIC = b"S8F1"
@@ -44,14 +44,14 @@ _HEAD_BYTES = struct.calcsize(_HEAD)
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, without special tokens; their strings in a text are ordinary text."""
+    """Ids by the tokenizers library, with no special tokens added; their strings in a text are what the library makes of them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # For pieces: the same model, fed the byte alphabet itself, with byte FF between pieces; no UTF-8 text has it.
         self.by_piece = Tokenizer.from_file(path)
         self.by_piece.encode_special_tokens = True
@@ -74,7 +74,7 @@ class LibraryEncoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        plain = [is_plain(t) for t in texts]
+        plain = [is_plain(t) and not any(a in t for a in self.added) for t in texts]
         if all(plain):
             return self.memo.ids(texts)
         flat, lens = self.memo.ids([t for t, p in zip(texts, plain) if p])
@@ -96,66 +96,42 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def ranges(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[int]:
-    """Upper ends of document ids (one fewer than files), by approximate quantiles, for files of about ``file_bytes``.
+def n_files(docs: DataFrame, text: str = "text", file_bytes: int = FILE_BYTES) -> int:
+    """How many files of about ``file_bytes`` the texts' ids take. Bytes are counted: estimates of a plan's size can be far off."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) * 3 // 4 // file_bytes
 
-    The number of files grows with the texts' bytes, which are counted (estimates of the plan's size can be far off); the
-    driver holds one number for each.
-    """
-    n = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) * 3 // 4 // file_bytes
-    if n < 1:
-        return []
-    got = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), [i / (n + 1) for i in range(1, n + 1)], max(10_000, 20 * n))).first()[0]
-    return sorted(set(got or []))
 
-
-def pack(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", bounds: list[int] = ()) -> DataFrame:
-    """(shard, doc_id, n_tokens, record): each document's ids with the end id, packed, and the range it falls in."""
-    edges = np.array(bounds, np.int64)
+def write_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, files: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Encodes each document, with the end id, writes a file for each range of ids that has documents, and returns
+    (shard, path, n_ids): a row for each file, shards in the order of ids."""
 
     def run(batches):
-        lib = library(vocabulary)
+        from pyspark import TaskContext
+
+        lib, (fs, base) = library(vocabulary), _filesystem(folder)
+        shard, out, count = TaskContext.get().partitionId(), None, 0
+        mine = f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
         for whole in batches:
             for b in chunks(whole, "text"):
                 ids, lens = lib.ids([t or "" for t in b.column("text").to_pylist()])
                 sizes = lens.astype(np.int64) + 1
                 records = simple8b.encode(np.insert(ids, np.cumsum(lens, dtype=np.int64), end_id), sizes)
-                own = b.column("doc_id")
-                shard = np.searchsorted(edges, pc.fill_null(own, -(1 << 63)).to_numpy(), side="left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), own, pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=["shard", "doc_id", "n_tokens", "record"])
-
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "shard int, doc_id long, n_tokens long, record binary")
-
-
-def write_files(packed: DataFrame, folder: str, n_shards: int) -> DataFrame:
-    """Writes a file for each shard that has documents and returns (shard, path, n_ids): a row for each."""
-
-    def run(batches):
-        fs, base = _filesystem(folder)
-        out, now, count, mine = None, None, 0, ""
-
-        def done():
-            out.close()
-            path = f"{base}/part-{now:06d}.s8f"
-            fs.move(mine, path)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([path]), pa.array([count], pa.int64())], names=["shard", "path", "n_ids"])
-
-        for b in batches:
-            for shard, i, n, r in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "record"))):
-                if shard != now:
-                    if out is not None:
-                        yield done()
-                    now, count, mine = shard, 0, f"{base}/.part-{shard:06d}-{uuid.uuid4().hex}"
+                if out is None:
                     out = fs.open_output_stream(mine)
                     out.write(MAGIC)
-                out.write(struct.pack(_HEAD, i or 0, i is not None) + r)
-                count += n
+                out.write(b"".join([struct.pack(_HEAD, i or 0, i is not None) + r for i, r in zip(b.column("doc_id").to_pylist(), records)]))
+                count += int(sizes.sum())
         if out is not None:
-            yield done()
+            out.close()
+            path = f"{base}/part-{shard:06d}.s8f"
+            fs.move(mine, path)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([count], pa.int64())], names=["shard", "path", "n_ids"])
 
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
-    dealt = packed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("record"))
+    place = [F.col("doc_id").asc_nulls_first(), F.col("print")]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    dealt = rows.repartitionByRange(files, *place).sortWithinPartitions(*place).select("doc_id", "text")
     return written(arrow_map(dealt, run, "shard int, path string, n_ids long"), "id-files")
 
 
@@ -219,6 +195,5 @@ def read_files(files: DataFrame, folder: str, with_ids: bool = False, chunk: int
 
 def store(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
     """Encode, write the files, and return their list and folder."""
-    folder = folder or scratch_path(spark, "token-ids")
-    bounds = ranges(docs, file_bytes=file_bytes)
-    return write_files(pack(docs, vocabulary, end_id, bounds=bounds), folder, len(bounds) + 1), folder
+    folder = qualified(spark, folder or scratch_path(spark, "token-ids"))
+    return write_files(docs, vocabulary, end_id, folder, n_files(docs, file_bytes=file_bytes)), folder

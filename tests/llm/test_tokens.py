@@ -87,8 +87,7 @@ def test_simple8b_refuses_damage():
 def test_files_hold_all_documents_in_order(spark, odd, file_bytes, tmp_path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(JSON)  # as it is: the string of a special token becomes that token's id
     files, folder = token_binary.store(spark, odd, JSON, 2, folder=f"file://{tmp_path}/ids", file_bytes=file_bytes)
     got = token_binary.read_files(files, folder, with_ids=True).orderBy("start").collect()
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
