@@ -11,7 +11,8 @@ is above. That fixed point is found at once from the sources sorted by size over
 
 Nulls: a null text has size 0; null is a source of its own; a null id is hashed as the empty string. Rows with equal ids
 are separate rows with equal keys. Empty texts are taken nought times or more but add nothing. An empty table gives an
-empty result. Other columns are not looked at.
+empty result. Other columns are carried, whatever their names; those named like a result (source_size, target, copies,
+taken) are replaced.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     copies counts the times that a row is taken whole. cut="rows": rows are whole, and the last is taken if its middle
     lies within the budget.
     """
-    sized = written(sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "mix-sizes")
+    columns = sized.columns  # as one struct, so that no name of theirs meets one of ours
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = written(sized.select(F.struct(*columns).alias("row"), "source", "size", key.alias("key")), "mix-sizes")
     per = targets(sized, weights, share, cap)
     rows = sized.join(per.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
     dealt = written(rows.repartitionByRange("rank", "key", "size").withColumn("part", F.spark_partition_id()), "mix-dealt")
@@ -70,7 +73,8 @@ def mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.
     else:
         out = out.withColumn("copies", F.col("epochs") + F.when(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
         out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("rank", "part", "key", "carried", "before", "budget", "epochs", "rest")
+    results = ["source_size", "target", "copies", "taken"]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns if c.lower() not in results], *results)
 
 
 def mix_documents(docs: DataFrame, **kw) -> DataFrame:

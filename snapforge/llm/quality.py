@@ -6,12 +6,12 @@ softmax(w . (tanh(V h) * sigmoid(U h))) among the passages of its document, and
 logistic unit. All of W, V, U, w and the unit are learned together from document labels (Adam, cross-entropy); no passage
 has a label of its own.
 
-Training uses the ``SAMPLE`` labelled documents of smallest hash at most (a documented bound: the driver holds their
-passage vectors, of each document ``BAG`` passages spread evenly over it) and no other column than text and label. It is
-deterministic. Scoring reads all passages of every text.
+Training uses the ``SAMPLE`` labelled documents of smallest hash at most, and of these, in that order, no more than have
+``MOST_PASSAGES`` passages together, but one at least (documented bounds: the driver holds their passage vectors). It sees
+all passages of each, and no other column than text and label. It is deterministic. Scoring reads all passages of every text.
 
 Nulls: a null text is the empty text, which is one passage of zeros; rows with a null label or id are not learned from;
-of several labels for an id each counts. Without any labelled row, or with one class only, every score is the share of
+of several labels for an id each counts, and so does each text of a repeated id, within the same bounds; equal rows count once. Without any labelled row, or with one class only, every score is the share of
 label 1 (0.5 without rows). Repeated rows are scored alike. Columns named score, predicted or held_out are replaced, all
 others are carried. Empty tables give empty results.
 """
@@ -26,7 +26,7 @@ from snapforge.llm.common import arrow_map, chunks
 
 PASSAGE = 512
 SAMPLE = 6000
-BAG = 48
+MOST_PASSAGES = 120_000
 HIDDEN, ATTENTION = 24, 12
 _PAIRS = 160
 
@@ -161,28 +161,32 @@ class AttentionMIL:
                     self.w[k] -= now * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + decay * self.w[k])
 
 
-def bag(text: str | None) -> np.ndarray:
-    """The vectors that training sees of a document: all, or ``BAG`` spread evenly."""
-    x, _ = passages([text])
-    return x if len(x) <= BAG else x[np.linspace(0, len(x) - 1, BAG).astype(int)]
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> AttentionMIL | float:
+def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, most: int = MOST_PASSAGES) -> AttentionMIL | float:
     """A model, or the share of label 1 where there is nothing to learn from. ``use``: which rows may be learned from."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).where(use)
     # the sample is bounded by `sample` rows, so it may be broadcast
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    n = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("passages")
+    sized = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "print", n).distinct()
+    picked, total = [], 0
+    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "print").limit(sample).collect():
+        if picked and total + r.passages > most:
+            break
+        picked.append((r.doc_id, r.y, r.print))
+        total += r.passages
+    spark = docs.sparkSession
+    picks = F.broadcast(spark.createDataFrame(picked, sized.select("doc_id", "y", "print").schema))
+    rows = texts.join(picks, ["doc_id", "print"]).dropDuplicates(["doc_id", "y", "print"]).select("doc_id", "y", "text")
 
     def vectors(batches):
         for whole in batches:
             for b in chunks(whole, "text"):
-                bags = [bag(t).astype("<f4").tobytes() for t in b.column("text").to_pylist()]
+                bags = [passages([t])[0].astype("<f4").tobytes() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
     got = arrow_map(rows, vectors, "doc_id long, y int, bag binary").collect()
