@@ -9,7 +9,7 @@ the sphere of the vectors' own dimension, so low dimensions, where caps must be
 calibrated like others. Beyond ``DIRECTIONS`` directions ends grow with the number of vectors instead.
 
 Whole projections are not swept: at cosine 0.9 a window that holds both of a near pair holds a quarter of all vectors in the
-middle of a projection, in any dimension, and counting there costs more than comparing all pairs.
+middle of a projection, and counting there costs more than comparing all pairs.
 
 Each row carries the numbers of all ends its vector is in, so that a pair's collisions are counted where it is met first,
 and it is verified there only. What leaves a worker is, for each vector and end, a sum of links and one edge at most, never

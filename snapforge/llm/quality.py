@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Column, text: str
     n = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1)).alias("passages")
     sized = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "print", n).distinct()
     picked, total = [], 0
-    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "print").limit(sample).collect():
+    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id", "print", "y").limit(sample).collect():
         if picked and total + r.passages > most:
             break
         picked.append((r.doc_id, r.y, r.print))

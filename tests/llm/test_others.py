@@ -198,3 +198,27 @@ def test_damaged_media(spark):
     got = {r.doc_id: r for r in media.describe(df).collect()}
     assert got[1].media_error and got[3].media_error and got[2].media_error is None and got[2].payload_bytes is None
     assert media.clips(df).count() == 0 and media.describe(df.limit(0)).count() == 0
+
+
+def test_mixing_carries_columns_of_any_name(spark):
+    names = ["key", "rank", "part", "target", "carried", "before", "budget", "epochs", "rest", "row", "weight", "source_size"]
+    rows = [(i, "ab"[i % 2], 3 + i % 5, *[f"{n}{i}" for n in names]) for i in range(40)]
+    plain = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, size long")
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    want = {r.doc_id: r for r in mixing.mix(plain).collect()}
+    kept = [n for n in names if n not in ("target", "source_size")]  # these are results
+    assert all(got[i][n] == f"{n}{i}" for i in got for n in kept)
+    assert all((got[i].taken, got[i].target, got[i].source_size) == (want[i].taken, want[i].target, want[i].source_size) for i in want)
+
+
+def test_training_is_bounded_over_repeated_ids_and_long_texts(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionMIL, "fit", lambda self, x, doc, y, **kw: seen.append((len(x), len(y))))
+    rows = [(1, f"text {i} " * (i + 1)) for i in range(300)] + [(1, "same")] * 50 + [(2, "word " * 4000)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    quality.train(docs(rows), labels, "quality", F.lit(True), sample=20)
+    quality.train(docs(rows), labels, "quality", F.lit(True), most=60)
+    assert seen[0][1] == 20 and 60 >= seen[1][0] > 0
+    quality.train(docs([(1, "a"), (2, "word " * 4000)]), labels, "quality", F.lit(True))
+    assert seen[2] == (2 + -(-20_000 // quality.PASSAGE), 3)  # all passages of the long text
