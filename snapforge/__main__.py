@@ -1,6 +1,6 @@
 """Command line: python -m snapforge VERB ...
 
-    compress --store DIR --image-id ID --image TREE [--base-image TREE --base-image-id ID] [--config TOML] [--overwrite]
+    compress --store DIR --image-id ID --image TREE [--base-image TREE --base-image-id ID] [--config TOML] [--overwrite] [--archives] [--debug DIR]
     decompress --store DIR --image-id ID --output TREE [--base-image TREE] [--config TOML] [--overwrite]
     inspect --store DIR --image-id ID [--files]        diff --store DIR ID OTHER
     list --store DIR        status --store DIR ID        delete --store DIR ID [--dry-run]        walk BASE TARGET
@@ -29,7 +29,7 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="snapforge", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, options in {
-        "compress": ("--store", "--image-id", "--image", "--base-image?", "--base-image-id?", "--config?", "--overwrite!"),
+        "compress": ("--store", "--image-id", "--image", "--base-image?", "--base-image-id?", "--config?", "--overwrite!", "--archives!", "--debug?"),
         "decompress": ("--store", "--image-id", "--output", "--base-image?", "--config?", "--overwrite!"),
         "inspect": ("--store", "--image-id", "--files!"),
         "diff": ("--store", "one", "other"),
@@ -63,7 +63,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> list[str]:
     router = Router.from_file(a.config) if getattr(a, "config", None) else Router()
     if a.verb == "compress":
         base = read_tree(spark, a.base_image, a.base_image_id or "base") if a.base_image else None
-        return [json.dumps(engine.compress(store, a.image_id, read_tree(spark, a.image, a.image_id), base, a.base_image_id, router, a.overwrite))]
+        return [json.dumps(engine.compress(store, a.image_id, read_tree(spark, a.image, a.image_id), base, a.base_image_id, router, a.overwrite, archives=a.archives, dump=a.debug))]
     if a.verb == "decompress":
         base = read_tree(spark, a.base_image, "base") if a.base_image else None
         write_tree(engine.decompress(store, a.image_id, base, router), a.output, a.overwrite)

@@ -29,16 +29,16 @@ def _codec(code: int, codec_id: str | None, extended: dict[str, Codec]) -> Codec
     raise ValueError(f"no codec for code {code}, id {codec_id}")
 
 
-def encoded(source: str, target: str, code: str, codec_id: str | None = None, threshold: float = 1.0, extended: dict | None = None, strict: bool = False) -> Column:
+def encoded(source: str, target: str, code: str, codec_id: str | None = None, threshold: float | Column = 1.0, extended: dict | None = None, strict: bool = False) -> Column:
     """A struct (patch, code, patch_sha256, codec_fallback): a patch larger than size times threshold is the target itself,
     as code 0. Where a codec can't take the content, so it is too, with codec_fallback (an error if strict)."""
     extended = extended or {}
     ship(SparkSession.active())
 
     @F.pandas_udf(_OUT)
-    def run(s: pd.Series, t: pd.Series, c: pd.Series, i: pd.Series) -> pd.DataFrame:
+    def run(s: pd.Series, t: pd.Series, c: pd.Series, i: pd.Series, most: pd.Series) -> pd.DataFrame:
         rows = []
-        for src, tgt, cd, cid in zip(s, t, c, i):
+        for src, tgt, cd, cid, share in zip(s, t, c, i, most):
             src, tgt, fell = bytes(src or b""), bytes(tgt or b""), False
             try:
                 patch = _codec(int(cd), cid, extended)[0](src, tgt)
@@ -46,12 +46,13 @@ def encoded(source: str, target: str, code: str, codec_id: str | None = None, th
                 if strict:
                     raise
                 patch, cd, fell = tgt, PASSTHROUGH, True
-            if len(patch) > len(tgt) * threshold:
+            if len(patch) > len(tgt) * share:
                 patch, cd = tgt, PASSTHROUGH
             rows.append((patch, int(cd), hashlib.sha256(patch).hexdigest(), fell))
         return pd.DataFrame(rows, columns=["patch", "code", "patch_sha256", "codec_fallback"])
 
-    return run(F.col(source), F.col(target), F.col(code), F.col(codec_id) if codec_id else F.lit(None).cast("string"))
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return run(F.col(source), F.col(target), F.col(code), F.col(codec_id) if codec_id else F.lit(None).cast("string"), limit)
 
 
 def decoded(source: str, patch: str, code: str, codec_id: str | None = None, extended: dict | None = None) -> Column:

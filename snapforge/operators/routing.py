@@ -46,10 +46,10 @@ def glob_regex(pattern: str, braces: bool = False) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """An own rule: any condition over the columns path, size and header."""
+    """An own rule: any condition over the columns path, size and header. Its code may be a router, which then decides."""
 
     condition: object
-    code: int
+    code: int | Router
     codec_id: str | None = None
 
     def accepts(self) -> Column:
@@ -65,7 +65,7 @@ class Glob(Rule):
 
 
 class Elf(Rule):
-    def __init__(self, code: int, codec_id: str | None = None):
+    def __init__(self, code: int | Router, codec_id: str | None = None):
         super().__init__(None, code, codec_id)
 
     def accepts(self) -> Column:
@@ -88,23 +88,37 @@ class Magic(Rule):
 
 @dataclass(frozen=True)
 class Router:
+    """Rules and a fallback, each with a code or with a further router, whose rules and threshold then hold as well."""
+
     rules: tuple = ()
-    fallback: int = BINARY
+    fallback: int | Router = BINARY
     threshold: float = 1.0
     #: decoders by (code, id), for codes and ids that are not built in
     extended: dict = field(default_factory=dict)
 
-    def code(self) -> Column:
-        out = F.lit(None).cast("int")
+    def _chosen(self, of_router, of_rule, fallback: Column) -> Column:
+        """What the first rule that accepts gives, or the fallback."""
+        out = of_router(self.fallback) if isinstance(self.fallback, Router) else fallback
         for r in reversed(self.rules):
-            out = F.when(r.accepts(), F.lit(r.code)).otherwise(F.coalesce(out, F.lit(None).cast("int")))
-        return F.coalesce(out, F.lit(self.fallback))
+            out = F.when(r.accepts(), of_router(r.code) if isinstance(r.code, Router) else of_rule(r)).otherwise(out)
+        return out
+
+    def code(self) -> Column:
+        return self._chosen(Router.code, lambda r: F.lit(r.code), F.lit(self.fallback))
 
     def codec_id(self) -> Column:
-        out = F.lit(None).cast("string")
-        for r in reversed(self.rules):
-            out = F.when(r.accepts(), F.lit(r.codec_id).cast("string")).otherwise(out)
-        return out
+        none = F.lit(None).cast("string")
+        return self._chosen(Router.codec_id, lambda r: F.lit(r.codec_id).cast("string"), none)
+
+    def limit(self) -> Column:
+        """The least threshold among the routers that a file goes through."""
+        own = F.lit(float(self.threshold))
+        return self._chosen(lambda x: F.least(own, x.limit()), lambda r: own, own)
+
+    def decoders(self) -> dict:
+        """The codecs of this router and of those below it; its own come first."""
+        below = [x for x in (*[r.code for r in self.rules], self.fallback) if isinstance(x, Router)]
+        return {i: c for x in reversed(below) for i, c in x.decoders().items()} | self.extended
 
     def rule_number(self) -> Column:
         """The place of the rule that accepts, from 0; -1 for the fallback."""
@@ -115,31 +129,38 @@ class Router:
 
     def verbatim(self, patch_bytes, size) -> Column:
         """Whether content goes verbatim as its patch is too large: strictly over the threshold."""
-        return F.col(patch_bytes) > F.col(size) * F.lit(self.threshold)
+        return F.col(patch_bytes) > F.col(size) * self.limit()
 
     def knows(self, code, codec_id) -> Column:
         """Whether there is a decoder; code 0 always has one."""
         known = F.lit(False)
-        for i in self.extended:
+        for i in self.decoders():
             known = known | (F.col(codec_id) == F.lit(i))
         return F.col(code).isin(PASSTHROUGH, BINARY, TEXT) | ((F.col(code) == EXTENDED) & F.coalesce(known, F.lit(False)))
 
     @staticmethod
     def from_config(config: dict) -> Router:
-        """From a mapping like that of a TOML file: default_encoder, passthrough_threshold, rules (type, pattern, encoder)."""
+        """From a mapping like that of a TOML file: default_encoder, passthrough_threshold, rules (type, pattern, encoder). An
+        encoder is a name, or a mapping of the same form for a router within this one."""
         codes = {"passthrough": PASSTHROUGH, "xdelta3": BINARY, "binary": BINARY, "text": TEXT, "text_diff": TEXT}
-        kinds = {"glob": lambda r: Glob(r["pattern"], codes[r["encoder"]]), "elf": lambda r: Elf(codes[r["encoder"]]), "size": lambda r: Size(r["max_bytes"], codes[r["encoder"]]), "magic": lambda r: Magic(r["magic"], codes[r["encoder"]])}
+        kinds = {"glob": lambda r, c: Glob(r["pattern"], c), "elf": lambda r, c: Elf(c), "size": lambda r, c: Size(r["max_bytes"], c), "magic": lambda r, c: Magic(r["magic"], c)}
+
+        def encoder(x, problem):
+            if isinstance(x, dict):
+                return Router.from_config(x)
+            if x not in codes:
+                raise ValueError(problem)
+            return codes[x]
+
         rules = []
         for r in config.get("rules", []):
-            if r.get("type") not in kinds or r.get("encoder") not in codes:
+            if r.get("type") not in kinds:
                 raise ValueError(f"unknown rule {r}")
             if r["type"] == "magic":
                 bytes.fromhex(r["magic"])
-            rules.append(kinds[r["type"]](r))
+            rules.append(kinds[r["type"]](r, encoder(r.get("encoder"), f"unknown rule {r}")))
         default = config.get("default_encoder", "binary")
-        if default not in codes:
-            raise ValueError(f"unknown encoder {default}")
-        return Router(tuple(rules), codes[default], float(config.get("passthrough_threshold", 1.0)))
+        return Router(tuple(rules), encoder(default, f"unknown encoder {default}"), float(config.get("passthrough_threshold", 1.0)))
 
     @staticmethod
     def from_file(path: str) -> Router:
