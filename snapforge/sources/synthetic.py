@@ -26,20 +26,28 @@ def _pick(of, share: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in of]), (F.floor(share * len(of)) + 1).cast("int"))
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, so that plans stay small however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def mutated_name(name: Column, seed: int) -> Column:
     """Another name like ``name``, never the same: a number at the end of its stem goes up by one, or the stem gets a suffix or
     prefix, gains or loses its last character, or has a word exchanged. What follows the last dot stays, and so does a dot that
     a name begins with."""
-    stem = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
-    ext = F.substr(name, F.length(stem) + 1)
-    how, which = F.floor(draw(seed, "how", name) * 5), draw(seed, "which", name)
-    digits = F.regexp_extract(stem, r"(\d{1,18})$", 1)
-    bumped = F.when(digits == "", F.concat(stem, F.lit("-2"))).otherwise(F.concat(F.substr(stem, F.lit(1), F.length(stem) - F.length(digits)), (digits.try_cast("long") + 1).cast("string")))
-    shorter = F.substr(stem, F.lit(1), F.length(stem) - 1)
-    ended = F.when((F.length(stem) > 3) & (which < 0.5), shorter).otherwise(F.concat(stem, F.char(F.lit(97) + F.floor(which * 26))))
-    swap = reduce(lambda out, p: F.when(F.contains(stem, F.lit(p[0])), F.regexp_replace(stem, p[0], p[1])).when(F.contains(stem, F.lit(p[1])), F.regexp_replace(stem, p[1], p[0])).otherwise(out), WORDS, F.concat(stem, F.lit("-2")))
-    new = F.when(how == 0, bumped).when(how == 1, F.concat(stem, _pick(SUFFIXES, which))).when(how == 2, F.concat(_pick(PREFIXES, which), stem)).when(how == 3, ended).otherwise(swap)
-    return F.concat(F.when((new == stem) | (new == ""), F.concat(stem, F.lit("-new"))).otherwise(new), ext)
+
+    def of(name: Column, stem: Column) -> Column:
+        ext = F.substr(name, F.length(stem) + 1)
+        how, which = F.floor(draw(seed, "how", name) * 5), draw(seed, "which", name)
+        digits = F.regexp_extract(stem, r"(\d{1,18})$", 1)
+        bumped = F.when(digits == "", F.concat(stem, F.lit("-2"))).otherwise(F.concat(F.substr(stem, F.lit(1), F.length(stem) - F.length(digits)), (digits.try_cast("long") + 1).cast("string")))
+        shorter = F.substr(stem, F.lit(1), F.length(stem) - 1)
+        ended = F.when((F.length(stem) > 3) & (which < 0.5), shorter).otherwise(F.concat(stem, F.char(F.lit(97) + F.floor(which * 26))))
+        swap = reduce(lambda out, p: F.when(F.contains(stem, F.lit(p[0])), F.regexp_replace(stem, p[0], p[1])).when(F.contains(stem, F.lit(p[1])), F.regexp_replace(stem, p[1], p[0])).otherwise(out), WORDS, F.concat(stem, F.lit("-2")))
+        new = F.when(how == 0, bumped).when(how == 1, F.concat(stem, _pick(SUFFIXES, which))).when(how == 2, F.concat(_pick(PREFIXES, which), stem)).when(how == 3, ended).otherwise(swap)
+        return F.concat(F.when((new == stem) | (new == ""), F.concat(stem, F.lit("-new"))).otherwise(new), ext)
+
+    return _bound(name, lambda n: _bound(F.regexp_replace(n, r"(?s)(?<=.)\.[^.]*$", ""), lambda stem: of(n, stem)))
 
 
 def mutated_content(content: Column, seed: int, of: Column) -> Column:
