@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snapforge.functions import scalars
-from snapforge.operators import blobs, codecs, diff, layout, manifest, match, reconstruct, rename, routing
+from snapforge.operators import blobs, codecs, diff, layout, manifest, match, reconstruct, regions, rename, routing
 from snapforge.sources.snapshots import base_sql, rich_sql, table, target_sql, virtual
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,6 +433,14 @@ def _files(spark, sf_dir):
     return d.select(F.concat_ws("", "source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), F.octet_length("text").cast("long").alias("size"), scalars.header(content).alias("header"), "doc_id")
 
 
+@query(f"WITH {_FILES} SELECT path, CASE WHEN path LIKE '%.en' THEN CASE WHEN size <= 800 THEN 0 ELSE 2 END ELSE {_CODE} END AS code, CASE WHEN path LIKE '%.en' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS threshold FROM g")
+def route_nested(spark, sf_dir):
+    """A router for English files within one whose fallback is a router."""
+    english = routing.Router((routing.Size(800, routing.PASSTHROUGH),), routing.TEXT, 0.25)
+    router = routing.Router((routing.Glob("*.en", english),), ROUTER, 0.75)
+    return _files(spark, sf_dir).select("path", router.code().alias("code"), router.limit().alias("threshold"))
+
+
 @query(f"WITH {_FILES} SELECT path, {_RULE} AS rule, {_CODE} AS code FROM g")
 def route_encoder(spark, sf_dir):
     return _files(spark, sf_dir).select("path", ROUTER.rule_number().alias("rule"), ROUTER.code().alias("code"))
@@ -655,6 +663,15 @@ def patch_source_join(spark, sf_dir):
     return blobs.patch_sources(recs, d.select("blob_id", "sha256", "size").distinct()).select("doc_id", "source_blob_id", "source_sha256", "source_size")
 
 
+@query("""WITH r AS (SELECT source AS image_id, doc_id::INTEGER AS partition_no, sha256(text) AS h, strlen(text)::BIGINT AS size FROM documents)
+SELECT image_id, partition_no, size, size > 0 AND NOT EXISTS (SELECT 1 FROM r o WHERE o.h = r.h AND o.partition_no % 3 = 0) AS is_new FROM r""")
+def region_records(spark, sf_dir):
+    """Documents as regions of their source's image; the content of every third is in the store already."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("image_id"), F.col("doc_id").cast("int").alias("partition_no"), F.lit("raw").alias("kind"), F.col("text").cast("binary").alias("content"))
+    known = d.where("partition_no % 3 = 0").select(F.sha2("content", 256).alias("sha256")).distinct().withColumn("blob_id", F.concat(F.lit("known-"), "sha256"))
+    return regions.compress(d, known)[0].select("image_id", "partition_no", "size", (F.col("stored_bytes") > 0).alias("is_new"))
+
+
 # Layouts
 
 _LAYOUT = '{"partitiontable": {"label": "gpt", "id": "AB", "device": "/dev/nbd0", "sectorsize": 512, "partitions": [{"node": "/dev/nbd0p1", "start": 2048, "size": 2048, "type": "21686148-6449-6E6F-744E-656564454649", "uuid": "U-1", "name": "boot"}, {"node": "/dev/nbd0p15", "start": 4096, "size": 20000000, "type": "0FC63DAF-8483-4772-8E79-3D69D8477DE4", "uuid": "U-2"}]}}'

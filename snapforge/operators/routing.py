@@ -96,24 +96,23 @@ class Router:
     #: decoders by (code, id), for codes and ids that are not built in
     extended: dict = field(default_factory=dict)
 
-    def _chosen(self, of_router, of_rule, fallback: Column) -> Column:
+    def _chosen(self, of_router, of_rule, fallback) -> Column:
         """What the first rule that accepts gives, or the fallback."""
-        out = of_router(self.fallback) if isinstance(self.fallback, Router) else fallback
+        out = of_router(self.fallback) if isinstance(self.fallback, Router) else fallback()
         for r in reversed(self.rules):
             out = F.when(r.accepts(), of_router(r.code) if isinstance(r.code, Router) else of_rule(r)).otherwise(out)
         return out
 
     def code(self) -> Column:
-        return self._chosen(Router.code, lambda r: F.lit(r.code), F.lit(self.fallback))
+        return self._chosen(Router.code, lambda r: F.lit(r.code), lambda: F.lit(self.fallback))
 
     def codec_id(self) -> Column:
-        none = F.lit(None).cast("string")
-        return self._chosen(Router.codec_id, lambda r: F.lit(r.codec_id).cast("string"), none)
+        return self._chosen(Router.codec_id, lambda r: F.lit(r.codec_id).cast("string"), lambda: F.lit(None).cast("string"))
 
     def limit(self) -> Column:
         """The least threshold among the routers that a file goes through."""
         own = F.lit(float(self.threshold))
-        return self._chosen(lambda x: F.least(own, x.limit()), lambda r: own, own)
+        return self._chosen(lambda x: F.least(own, x.limit()), lambda r: own, lambda: own)
 
     def decoders(self) -> dict:
         """The codecs of this router and of those below it; its own come first."""
