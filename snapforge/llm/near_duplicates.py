@@ -208,32 +208,35 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 _SENT_SCHEMA = "anchor long, node long, root long, p long, q long, home boolean"
 _WIDE_SCHEMA = f"{_SENT_SCHEMA}, n int, prints array<long>"
+_BUSY_SCHEMA = f"{_SENT_SCHEMA}, known boolean"
 
 
-def _sent(nodes: DataFrame, which: list[int], wide: bool = False) -> DataFrame:
-    """Nodes (node, root, n, prints) at all anchors of some of their fingerprints; q is the fingerprint after p. ``wide``: with
-    their sizes and all their fingerprints."""
-    schema = _WIDE_SCHEMA if wide else _SENT_SCHEMA
+def _sent(nodes: DataFrame, which: list[int], schema: str = _SENT_SCHEMA) -> DataFrame:
+    """Nodes (node, root, n, prints) at all anchors of some of their fingerprints; q is the fingerprint after p. As ``schema``
+    says, with their sizes and all their fingerprints, or whether they are known."""
     names = [x.split()[0] for x in schema.split(", ")]
+    wide, block = "prints" in names, _SENT // 16 if "prints" in names else _SENT
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, _SENT // 16 if wide else _SENT):
-                b = whole.slice(at, _SENT // 16 if wide else _SENT)
+            for at in range(0, whole.num_rows, block):
+                b = whole.slice(at, block)
                 node, root, n = (b.column(c).to_numpy() for c in ("node", "root", "n"))
+                known = b.column("known").to_numpy(zero_copy_only=False) if "known" in names else None
                 every = b.column("prints").flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
                 for k in which:
                     p, q = np.ascontiguousarray(every[:, k]), every[:, (k + 1) % PRINTS]
                     key, i, home = anchors(p)
                     columns = [pa.array(x) for x in (key | np.int64(k) << np.int64(44), node[i], root[i], p[i].view(np.int64), q[i].view(np.int64), home)]
-                    yield pa.RecordBatch.from_arrays(columns + ([pa.array(n[i]), _lists(every[i].view(np.int64))] if wide else []), names=names)
+                    more = [pa.array(n[i]), _lists(every[i].view(np.int64))] if wide else [] if known is None else [pa.array(known[i])]
+                    yield pa.RecordBatch.from_arrays(columns + more, names=names)
 
     return arrow_map(nodes, run, schema)
 
 
-def _nearby(key, root, p, q, home):
+def _nearby(key, root, p, q, home, known=None):
     """(i, j) of rows at home i and rows j that are near at an anchor and have different roots, a block at a time; rows are
-    whole anchors, sorted by key."""
+    whole anchors, sorted by key. Rows that are both known are not compared."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((first, [len(key)])))
     start, reach = np.repeat(first, size), np.repeat(size, size)
@@ -245,7 +248,7 @@ def _nearby(key, root, p, q, home):
         at, n = to, reach[h]
         i = np.repeat(h, n)
         j = np.repeat(start[h], n) + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
-        some = np.flatnonzero(root[i] != root[j])
+        some = np.flatnonzero(root[i] != root[j] if known is None else (root[i] != root[j]) & ~(known[i] & known[j]))
         i, j = i[some], j[some]
         ok = np.bitwise_count(p[i] ^ p[j]).astype(np.int64) + np.bitwise_count(q[i] ^ q[j]) <= APART
         yield i[ok], j[ok]
@@ -316,21 +319,22 @@ def _met(nodes: DataFrame, which: list[int], star: bool) -> DataFrame:
     def compare(c, memo):
         return _near(*(c[x] for x in ("anchor", "node", "root", "p", "q", "home")), star, *(() if star else (c["n"], c["prints"], most)))
 
-    return _at_anchors(_sent(nodes, which, not star), compare, "a long, b long").distinct()
+    return _at_anchors(_sent(nodes, which, _SENT_SCHEMA if star else _WIDE_SCHEMA), compare, "a long, b long").distinct()
 
 
 def _busy(nodes: DataFrame, which: list[int]) -> DataFrame:
-    """(node), distinct: nodes that are near to any by some fingerprints and have another root."""
+    """(node), distinct: nodes of (node, root, n, prints, known) that are near to any by some fingerprints, have another root
+    and are not known yet."""
 
     def compare(c, memo):
         near = np.zeros(len(c["node"]), bool)
-        for i, j in _nearby(*(c[x] for x in ("anchor", "root", "p", "q", "home"))):
+        for i, j in _nearby(*(c[x] for x in ("anchor", "root", "p", "q", "home", "known"))):
             near[i] = near[j] = True
-        new = np.setdiff1d(c["node"][near], memo.get("seen", c["node"][:0]))
+        new = np.setdiff1d(c["node"][near & ~c["known"]], memo.get("seen", c["node"][:0]))
         memo["seen"] = np.union1d(memo["seen"], new) if "seen" in memo else new
         return (new,)
 
-    return _at_anchors(_sent(nodes, which), compare, "node long").distinct()
+    return _at_anchors(_sent(nodes, which, _BUSY_SCHEMA), compare, "node long").distinct()
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -374,9 +378,11 @@ def link(docs: DataFrame) -> DataFrame:
     roots = written(components(links, "near-star"), "near-roots")
 
     rooted = written(nodes.select("node", "n", "prints").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prints"), "near-rooted")
-    few = _sendings(PRINTS if nodes.count() <= FEW_NODES else AT_ONCE)
-    near = [written(_busy(rooted, which), "near-busy") for which in few]
-    busy = written(rooted.join(_union(near).distinct(), "node", "left_semi"), "near-again")
+    near: list[DataFrame] = []
+    for which in _sendings(PRINTS if nodes.count() <= FEW_NODES else AT_ONCE):
+        known = rooted.join(_union(near).withColumn("known", F.lit(True)), "node", "left").withColumn("known", F.coalesce("known", F.lit(False))) if near else rooted.withColumn("known", F.lit(False))
+        near.append(written(_busy(known, which), "near-busy"))
+    busy = written(rooted.join(_union(near), "node", "left_semi"), "near-again")
     met = [written(_met(busy, which, False), "near-met") for which in _sendings(AT_ONCE * FEW_NODES // max(1, busy.count()))]
     pairs = written(_union(met).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
     more = _verified(pairs, own, nodes)
