@@ -223,6 +223,24 @@ def test_lines_against_brute_force(docs):
     assert all(digest[i].kept_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in got.items())
 
 
+def test_line_prefixes_are_the_first_of_all_tokens(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    lines = [" ".join(r.choice(words[: r.choice([1, 2, 5, 40])]) for _ in range(r.randrange(1, 90))) for _ in range(200)] + ["a b c d e " * 30 + "f", "a", " \t", "a  b "]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "at long, line string")
+    hashed = line_dedup._hashed(rows)
+    classes = line_dedup._rarity(rows.select(F.col("line").alias("text")))
+    every = hashed.withColumn("every", F.transform(line_dedup._firsts(), lambda _, i: line_dedup._shingle(i))).select("at", F.explode(F.arrays_zip(line_dedup._firsts().alias("first"), F.col("every"))).alias("z"))
+    token = F.get(classes, line_dedup._bucket(F.col("z.first"))).bitwiseOR(F.shiftrightunsigned("z.every", 64 - line_dedup.REST_BITS))
+    whole = {x.at: sorted(x.t) for x in every.groupBy("at").agg(F.collect_set(token).alias("t")).collect()}
+    got = {x.at: x.prefix for x in line_dedup._prefixes(hashed, classes).collect()}
+    assert sorted(got) == sorted(whole) == [i for i, x in enumerate(lines) if x.split()]
+    for i, p in got.items():
+        n = len(whole[i])
+        assert n == len({tuple(w[k : k + 5]) for w in [lines[i].split()] for k in range(max(1, len(w) - 4))})
+        assert p == whole[i][: len(p)] and len(p) >= n - -(-4 * n // 5) + 1
+
+
 def test_lines_of_odd_rows(docs):
     got = line_dedup.dedup(docs([(1, None), (None, "one two"), (5, "one two"), (5, "one two"), (6, "x" * 4000)]).withColumn("at", F.lit(7))).collect()
     assert sorted(((r.doc_id, r.text, r.at) for r in got), key=repr) == sorted([(1, None, 7), (None, "one two", 7), (5, "", 7), (5, "", 7), (6, "x" * 4000, 7)], key=repr)
